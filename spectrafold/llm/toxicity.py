@@ -28,6 +28,7 @@ from .common import text_of
 
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 16
 MAX_PER_CLASS = 3000
+BATCH = 64
 MAX_WORDS = 800_000
 _MARKS = ".,;:!?\"'()[]{}<>|*%&$#-_/"
 
@@ -59,8 +60,8 @@ def _passages(n: int) -> np.ndarray:
     return np.arange(0, n, WINDOW)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 0.3, seed: int = 1) -> ToxicityModel:
-    """Joint training by Adagrad over mini-batches; the bound on the sample is the caller's."""
+def train(texts: list[str], labels: np.ndarray, steps: int = 800, rate: float = 1.0, seed: int = 1) -> ToxicityModel:
+    """Joint training by Adagrad over about ``steps`` mini-batches of BATCH texts; the bound on the sample is the caller's."""
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
@@ -74,10 +75,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 0
     weight = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias, step_table, step_weight, step_bias = np.array([0.0, -2.0]), np.full(BUCKETS, 1e-3), np.full((DIM, 2), 1e-3), np.full(2, 1e-3)
     usable = [k for k, d in enumerate(docs) if len(d)]
-    for _ in range(epochs):
+    for _ in range(max(2, round(steps * BATCH / max(1, len(usable))))):
         order = rng.permutation(usable)
-        for lo in range(0, len(order), 64):
-            pick = order[lo : lo + 64]
+        for lo in range(0, len(order), BATCH):
+            pick = order[lo : lo + BATCH]
             tokens = np.concatenate([docs[k] for k in pick])
             words, inverse = np.unique(tokens, return_inverse=True)
             n = size[words]
