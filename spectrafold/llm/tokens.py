@@ -24,7 +24,7 @@ _LETTERS = re.compile("[a-zà-öø-ÿ]+")
 _SIMPLE = re.compile("[\x00-\u012f\u0131-\u024f\u2010-\u203f]*")
 #: A comma or full stop that ends a longer run of punctuation, which is one word.
 _RUN = re.compile("[,.](?=[ \\n])(?<=(?:[^\\w\\s]|[_\x1c-\x1f])[,.])")
-MAX_WORDS = 800_000
+MAX_WORDS = 1_300_000
 
 
 def tokenizer_path(name: str) -> str:
