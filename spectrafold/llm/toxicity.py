@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-BUCKETS, DIM, WINDOW = 1 << 17, 8, 16
+BUCKETS, DIM, WINDOW = 1 << 17, 8, 3
+#: n-grams in fewer training texts stay zero.
+MIN_TEXTS = 4
 MAX_PER_CLASS = 3000
 BATCH = 64
 MAX_WORDS = 800_000
@@ -60,7 +62,13 @@ def _passages(n: int) -> np.ndarray:
     return np.arange(0, n, WINDOW)
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = 800, rate: float = 1.0, seed: int = 1) -> ToxicityModel:
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the stretches that begin at ``start``."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1])
+
+
+def train(texts: list[str], labels: np.ndarray, steps: int = 500, rate: float = 1.0, seed: int = 1) -> ToxicityModel:
     """Joint training by Adagrad over about ``steps`` mini-batches of BATCH texts; the bound on the sample is the caller's."""
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
@@ -71,9 +79,14 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 800, rate: float =
         ends.append(len(packed))
     flat, begin = np.frombuffer(packed, np.int32), np.array(ends)
     size = np.diff(begin)
-    table = rng.uniform(-0.5, 0.5, (BUCKETS, DIM)).astype(np.float32) / DIM
+    table = rng.uniform(-0.05, 0.05, (BUCKETS, DIM)).astype(np.float32) / DIM
     weight = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias, step_table, step_weight, step_bias = np.array([0.0, -2.0]), np.full(BUCKETS, 1e-3), np.full((DIM, 2), 1e-3), np.full(2, 1e-3)
+    seen = np.zeros(BUCKETS, np.int64)
+    for words in filter(len, map(np.unique, docs)):
+        seen[np.unique(flat[_ranges(begin[words], size[words])])] += 1
+    live = seen >= MIN_TEXTS
+    table[~live] = 0
     usable = [k for k, d in enumerate(docs) if len(d)]
     for _ in range(max(2, round(steps * BATCH / max(1, len(usable))))):
         order = rng.permutation(usable)
@@ -82,10 +95,8 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 800, rate: float =
             tokens = np.concatenate([docs[k] for k in pick])
             words, inverse = np.unique(tokens, return_inverse=True)
             n = size[words]
-            offset = np.r_[0, np.cumsum(n)]
-            where = np.repeat(begin[words] - offset[:-1], n) + np.arange(offset[-1])
-            buckets = flat[where]
-            vectors = np.add.reduceat(table[buckets], offset[:-1]) / n[:, None].astype(np.float32)
+            buckets = flat[_ranges(begin[words], n)]
+            vectors = np.add.reduceat(table[buckets], np.r_[0, np.cumsum(n)[:-1]]) / n[:, None].astype(np.float32)
             lengths = np.array([len(docs[k]) for k in pick])
             starts = np.r_[0, np.cumsum(lengths)[:-1]]
             passage = np.concatenate([s + _passages(m) for s, m in zip(starts, lengths)])
@@ -108,6 +119,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 800, rate: float =
             touched, spot = np.unique(buckets, return_inverse=True)
             per_gram = np.repeat(per_word, n, axis=0)
             grad = np.stack([np.bincount(spot, per_gram[:, d], len(touched)) for d in range(DIM)], 1)
+            grad[~live[touched]] = 0
             step_table[touched] += (grad**2).sum(axis=1) * 100
             step_weight += grad_weight**2
             step_bias += grad_bias**2
