@@ -19,7 +19,7 @@ def get_supported_formats() -> dict[str, str]:
 
 
 def _register(spark: SparkSession) -> None:
-    spark.dataSource.register(container.BlockSource)
+    container.register(spark)
 
 
 def convert_files(spark: SparkSession, input_files: str | list[str], output_dir: str, write_mode: str = "binary", precision: float = 0.001, skip_zero: bool = True) -> DataFrame:

@@ -105,7 +105,4 @@ def decode_reads(blocks: DataFrame, mode: str = "binary") -> DataFrame:
 
 def write_container(blocks: DataFrame, path: str, omics: str, mode: str = "binary", **info) -> None:
     """Blocks in one container file, in order of block_id."""
-    writer = blocks.write.format("omicsblocks").mode("overwrite").option("mode", mode).option("omics", omics)
-    for k, v in info.items():
-        writer = writer.option(k, v if isinstance(v, str) else json.dumps(v))
-    writer.save(path)
+    blocks.write.format("omicsblocks").mode("overwrite").option("mode", mode).option("info", json.dumps({"omics": omics, **info})).save(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import shutil
@@ -9,6 +10,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark import TaskContext
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..functions import container as C
@@ -130,7 +132,7 @@ class BlockWriter(DataSourceWriter):
 
 
 class BlockSource(DataSource):
-    """``spark.read.format("omicsblocks").load(path)`` and ``blocks.write.format("omicsblocks").option("omics", ...).save(path)``."""
+    """``spark.read.format("omicsblocks").load(path)`` and ``blocks.write.format("omicsblocks").option("info", <header as JSON>).save(path)``."""
 
     @classmethod
     def name(cls) -> str:
@@ -143,8 +145,14 @@ class BlockSource(DataSource):
         return BlockReader(self.options["path"], int(self.options.get("blocksPerTask", "256")))
 
     def writer(self, schema, overwrite: bool) -> BlockWriter:
-        kept = ("path", "mode")
-        return BlockWriter(self.options["path"], self.options.get("mode", "binary"), {k: v for k, v in self.options.items() if k not in kept}, overwrite, schema.names)
+        info = json.loads(self.options.get("info", '{"omics": "Proteomics"}'))
+        return BlockWriter(self.options["path"], self.options.get("mode", "binary"), info, overwrite, schema.names)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known, with filters on block_id pushed to its reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BlockSource)
 
 
 def file_header(path: str) -> dict:

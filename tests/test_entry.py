@@ -1,0 +1,37 @@
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+OWN = [n for n in entry.queries() if not n.startswith("op") and n != "pipeline"]
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    return con
+
+
+def rows(names, table):
+    cell = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return sorted(tuple(cell(r[k]) for k in order) for r in table)
+
+
+@pytest.mark.parametrize("name", OWN)
+def test_query_equals_sql(spark, db, name):
+    df = entry.queries()[name](spark, SF)
+    got = rows(df.columns, df.collect())
+    if name in entry.oracle_sql():
+        want = db.sql(entry.oracle_sql()[name])
+        assert sorted(df.columns) == sorted(want.columns)
+        assert got == rows(want.columns, want.fetchall())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
