@@ -118,10 +118,10 @@ def decode_spectrum(block: bytes, mode: str = "binary", continuous: bool = False
 def encode_reads(first: int, identifiers: list[str], sequences: list[str], qualities: list[str], mode: str = "binary") -> bytes:
     """A batch of reads with consecutive ids from ``first``; all lines are restored exactly, of any lengths."""
     key, values = C.encode_ids(identifiers)
-    joined = "".join(sequences).encode()
-    packed, other, letters = C.pack_bases(joined)
+    raw = [s.encode() for s in sequences]
+    packed, other, letters = C.pack_bases(b"".join(raw))
     alphabet, quality = C.encode_quality("".join(qualities).encode("latin-1"))
-    extra = {"lengths": [len(s) for s in sequences], "quality_lengths": [len(q) for q in qualities]}
+    extra = {"lengths": [len(s) for s in raw], "quality_lengths": [len(q) for q in qualities]}
     for k, x in extra.items():
         extra[k] = x[0] if len(set(x)) == 1 else x
     text = json.dumps({"ids": key, "letters": letters.decode(), **extra}, separators=(",", ":"))
@@ -145,11 +145,11 @@ def decode_reads(block: bytes, mode: str = "binary") -> list[dict]:
     text, n = json.loads(parts[0]), last - first + 1
     ids = C.decode_ids(text["ids"], parts[1], n)
     sizes = [text[k] if isinstance(text[k], list) else [text[k]] * n for k in ("lengths", "quality_lengths")]
-    sequence = C.unpack_bases(C.unzstd(parts[2]), sum(sizes[0]), np.frombuffer(parts[3], "<u4"), text["letters"].encode()).decode()
+    sequence = C.unpack_bases(C.unzstd(parts[2]), sum(sizes[0]), np.frombuffer(parts[3], "<u4"), text["letters"].encode())
     quality = C.decode_quality(parts[4], parts[5]).decode("latin-1")
     out, a, b = [], 0, 0
     for k in range(n):
         x, y = sizes[0][k], sizes[1][k]
-        out.append({"read_id": first + k, "identifier": ids[k], "sequence": sequence[a : a + x], "quality": quality[b : b + y]})
+        out.append({"read_id": first + k, "identifier": ids[k], "sequence": sequence[a : a + x].decode(), "quality": quality[b : b + y]})
         a, b = a + x, b + y
     return out

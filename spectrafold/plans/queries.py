@@ -211,11 +211,11 @@ def quality_codec_stream(spark, d):
     return P.prefix_sum(joined, "v", "total", "batch", "run").select("batch", (F.col("run") - 1).alias("run"), "rank", "len", "total")
 
 
-_LETTERS = "translate(substr(text, 1, 60), 'aeiouAEIOU', 'ATGCNATGCN')"
+_LETTERS = "translate(text, 'aeiouAEIOU', 'ATGCNATGCN')"
 
 
 def _sequences(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.translate(F.substring("text", 1, 60), "aeiouAEIOU", "ATGCNATGCN").alias("s"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.translate("text", "aeiouAEIOU", "ATGCNATGCN").alias("s"))
 
 
 @query(f"SELECT conv_id, turn, translate(regexp_replace({_LETTERS}, '[^ATGC]', 'A', 'g'), 'ATGC', '0123') AS codes FROM conversations")
@@ -245,9 +245,9 @@ def read_batches(spark, d):
     return table(spark, d, "events").groupBy(batch.alias("batch")).agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id // 64 AS batch, string_agg(substr(event_type, 1, 1), '' ORDER BY event_id) AS joined FROM events GROUP BY ALL")
+@query("SELECT event_id // 64 AS batch, string_agg(event_type, '' ORDER BY event_id) AS joined FROM events GROUP BY ALL")
 def batch_concat(spark, d):
-    e = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 64).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("event_id", F.substring("event_type", 1, 1).alias("s")))).alias("a"))
+    e = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 64).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("s")))).alias("a"))
     return e.select("batch", F.array_join(F.transform("a", lambda x: x["s"]), "").alias("joined"))
 
 
@@ -377,9 +377,9 @@ def first_last_rt(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.min_by("value", "event_id").alias("first"), F.max_by("value", "event_id").alias("last"))
 
 
-@query("SELECT i, count(DISTINCT floor(x * 10)) AS kinds FROM (SELECT unnest(range(0, 8)) AS i, unnest(embedding[1:8]) AS x FROM embeddings) GROUP BY i HAVING count(DISTINCT floor(x * 10)) > 1")
+@query("SELECT i, count(DISTINCT floor(x * 10)) AS kinds FROM (SELECT unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY i HAVING count(DISTINCT floor(x * 10)) > 1")
 def axis_all_equal(spark, d):
-    places = table(spark, d, "embeddings").select(F.posexplode(F.slice("embedding", 1, 8)).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    places = table(spark, d, "embeddings").select(F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     return P.axes_agree(places, "i", "x", 1).select(F.col("i").cast("long").alias("i"), "kinds")
 
 
@@ -512,15 +512,13 @@ def imaging_block(spark, d):
     return both.filter((worst("p") < 2e-5) & (worst("c") < 0.05)).select(F.col("spectrum_id").alias("vec_id"), F.size("intensity").cast("long").alias("n"))
 
 
-@query("SELECT conv_id * 100 + turn AS read_id, role AS identifier, substr(text, 1, 40) AS sequence FROM conversations")
+@query("SELECT conv_id * 100 + turn AS read_id, role AS identifier, text AS sequence FROM conversations")
 def reads_block(spark, d):
-    c = table(spark, d, "conversations")
-    reads = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("identifier"), F.substring("text", 1, 40).alias("sequence"))
-    # letters beyond ATGC are escapes of the sequence codec; reads need plain ASCII here
-    dense = O.dense_index(reads.filter(F.col("sequence").rlike("^[\\x00-\\x7F]*$")), "id", "read_id")
-    odd = reads.filter(~F.col("sequence").rlike("^[\\x00-\\x7F]*$")).select(F.col("id").alias("read_id"), "identifier", "sequence")
+    """Every letter beyond ATGC is an escape of the sequence codec."""
+    reads = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("identifier"), F.col("text").alias("sequence"))
+    dense = O.dense_index(reads, "id", "read_id")
     back = convert.decode_reads(convert.encode_reads(dense.select("read_id", "identifier", "sequence", F.lit("FF:").alias("quality"))))
-    return back.join(dense.select("read_id", "id"), "read_id").select(F.col("id").alias("read_id"), "identifier", "sequence").unionByName(odd)
+    return back.join(dense.select("read_id", "id"), "read_id").select(F.col("id").alias("read_id"), "identifier", "sequence")
 
 
 @query(None)
