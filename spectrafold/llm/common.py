@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,19 @@ def shared_base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Arrow batches of Python stages: rows, and bytes.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches small enough that a Python worker's copies of a batch stay within tens of MB; a long text is a batch of its own."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(re.sub(r"\D", "", spark.conf.get(name)) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
 class Workspace:
     """Written tables of one operator call: they cut lineage and survive lost executors."""
 

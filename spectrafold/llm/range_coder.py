@@ -17,8 +17,8 @@ import zlib
 
 import numpy as np
 
-SEGMENT = 1 << 19
-LANES = 2048
+SEGMENT = 1 << 20
+LANES = 4096
 _HEAD = struct.Struct("<4sIIII")
 _MAGIC = b"CMR1"
 _U = np.uint64
@@ -26,14 +26,15 @@ _TOP, _BOT = _U(1 << 48), _U(1 << 40)
 _HASH_BITS = 18
 _MIX = 12
 _FREQ = 24
-#: Confidence after a miss and after a hit.
-_NEXT = np.array([[0, 0, 1, 2], [1, 2, 3, 3]], np.int8)
+_STEP = 12  # vocabulary + _STEP * SEGMENT stays below 2**_FREQ, so every id keeps a share
 
 
 class _Model:
     """Shared predictions of all lanes; ``vocabulary`` ids."""
 
     def __init__(self, vocabulary: int):
+        if vocabulary + _STEP * SEGMENT >= 1 << _FREQ:
+            raise ValueError("the vocabulary is too large for the frequency scale")
         self.count = np.ones(vocabulary, np.int64)
         self.cum = np.empty(vocabulary + 1, np.uint64)
         self.pred1 = np.full(vocabulary + 1, -1, np.int32)
@@ -50,19 +51,20 @@ class _Model:
     def _weigh(self) -> None:
         """Mixing weights from how often each prediction was right, by confidence cell."""
         if self.cells:
-            self.seen += 2 * np.bincount(np.concatenate(self.cells), minlength=96).reshape(32, 3)
+            self.seen += 2 * np.bincount(np.concatenate(self.cells), minlength=128).reshape(32, 4)[:, :3]
             self.cells = []
         if self.seen.max() > 1 << 20:
             self.seen = (self.seen >> 1) + 1
         room = (1 << _MIX) - 3
         total = self.seen.sum(axis=1)
-        self.q2 = (1 + room * self.seen[:, 0] // total).astype(np.uint64)
-        self.q1 = (1 + room * self.seen[:, 1] // total).astype(np.uint64)
+        two, one = 1 + room * self.seen[:, 0] // total, 1 + room * self.seen[:, 1] // total
+        bounds = np.stack([np.zeros(32, np.int64), two, two + one, np.full(32, 1 << _MIX)], 1)
+        self.bounds = bounds.ravel().astype(np.uint64)
 
     def _rank(self) -> None:
         """Cumulative order-0 frequencies, scaled to 2**_FREQ; every id keeps a share."""
         if self.fresh:
-            self.count += 16 * np.bincount(np.concatenate(self.fresh), minlength=len(self.count))
+            self.count += _STEP * np.bincount(np.concatenate(self.fresh), minlength=len(self.count))
             self.fresh = []
         sums = np.cumsum(self.count)
         self.cum[0] = 0
@@ -70,18 +72,20 @@ class _Model:
         self.cum[-1] = 1 << _FREQ
 
     def predict(self, prev: np.ndarray, prev2: np.ndarray) -> tuple:
-        slot = (prev2 * 40503 + prev * 769) & ((1 << _HASH_BITS) - 1)
+        """Slot, predictions and confidences of orders 1 and 2, and the mixing cell (times 4)."""
+        slot = (prev2.astype(np.int64) * 40503 + prev * 769) & ((1 << _HASH_BITS) - 1)
         a, ca, b, cb = self.pred1[prev], self.conf1[prev], self.pred2[slot], self.conf2[slot]
-        cell = cb * np.int8(4) + ca + np.int8(16) * (a == b)
-        return slot, a, ca, b, cb, cell
+        cell = cb * np.int8(4) + ca + np.int8(16) * (a == b).view(np.int8)
+        return slot, a, ca, b, cb, cell.astype(np.int64) * 4
 
     def learn(self, x: np.ndarray, prev: np.ndarray, made: tuple, symbol: np.ndarray) -> None:
         slot, a, ca, b, cb, cell = made
         for where, p, c, preds, confs in ((prev, a, ca, self.pred1, self.conf1), (slot, b, cb, self.pred2, self.conf2)):
             hit = p == x
-            confs[where] = _NEXT[hit.view(np.int8), c]
+            sure = hit.view(np.int8)
+            confs[where] = np.minimum(c + np.int8(1), np.int8(3)) * sure + np.maximum(c - np.int8(1), np.int8(0)) * (np.int8(1) - sure)
             preds[where] = np.where(hit | (c > 0), p, x)
-        self.cells.append(cell * np.int16(3) + symbol)
+        self.cells.append(cell + symbol)
         self.fresh.append(x)
         self.step += 1
         if self.step <= 8 or self.step % 4 == 0:
@@ -115,12 +119,12 @@ def _shape(n: int) -> tuple[int, int]:
 def encode_segment(ids: np.ndarray, vocabulary: int) -> bytes:
     n = len(ids)
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(vocabulary)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    prev = prev2 = np.full(lanes, vocabulary, np.int64)
+    prev = prev2 = np.full(lanes, vocabulary, np.int32)
     who, words = [], []
 
     def emit(go):
@@ -132,16 +136,13 @@ def encode_segment(ids: np.ndarray, vocabulary: int) -> bytes:
         x, p, pp = grid[t, :k], prev[:k], prev2[:k]
         made = model.predict(p, pp)
         a, b, cell = made[1], made[3], made[5]
-        q2, q1 = model.q2[cell], model.q1[cell]
-        is2, is1 = b == x, a == x
-        symbol = np.where(is2, 0, np.where(is1, 1, 2))
-        both = q2 + q1
-        start = np.where(is2, _U(0), np.where(is1, q2, both))
-        size = np.where(is2, q2, np.where(is1, q1, _U(1 << _MIX) - both))
+        symbol = (np.int8(2) - (a == x).view(np.int8)) * (b != x).view(np.int8)
+        at = cell + symbol
+        start = model.bounds[at]
         lo, ra = low[:k], rng[:k]
         r = ra >> _U(_MIX)
         lo += r * start
-        ra[:] = r * size
+        ra[:] = r * (model.bounds[at + 1] - start)
         miss = np.flatnonzero(symbol == 2)
         at = x[miss]
         r = ra[miss] >> _U(_FREQ)
@@ -179,8 +180,8 @@ def decode_segment(data: memoryview) -> tuple[np.ndarray, int]:
     for _ in range(4):  # beyond a lane's end come zeros
         code = (code << _U(16)) | words[np.where(at < end, at, total)]
         at = at + 1
-    prev = prev2 = np.full(lanes, vocabulary, np.int64)
-    grid = np.zeros((steps, lanes), np.int64)
+    prev = prev2 = np.full(lanes, vocabulary, np.int32)
+    grid = np.zeros((steps, lanes), np.int32)
 
     def take(go):
         spot = at[go]
@@ -192,23 +193,20 @@ def decode_segment(data: memoryview) -> tuple[np.ndarray, int]:
         p, pp = prev[:k], prev2[:k]
         made = model.predict(p, pp)
         a, b, cell = made[1], made[3], made[5]
-        q2, q1 = model.q2[cell], model.q1[cell]
-        both = q2 + q1
         lo, ra = low[:k], rng[:k]
         r = ra >> _U(_MIX)
         v = (code[:k] - lo) // r
-        is2, miss = v < q2, v >= both
-        start = np.where(is2, _U(0), np.where(miss, both, q2))
-        size = np.where(is2, q2, np.where(miss, _U(1 << _MIX) - both, q1))
+        symbol = (v >= model.bounds[cell + 1]).view(np.int8) + (v >= model.bounds[cell + 2]).view(np.int8)
+        bound = cell + symbol
+        start = model.bounds[bound]
         lo += r * start
-        ra[:] = r * size
-        x = np.where(is2, b, a).astype(np.int64)
-        symbol = np.where(is2, 0, np.where(miss, 2, 1))
-        miss = np.flatnonzero(miss)
+        ra[:] = r * (model.bounds[bound + 1] - start)
+        x = np.where(symbol == 0, b, a)
+        miss = np.flatnonzero(symbol == 2)
         r = ra[miss] >> _U(_FREQ)
         v = np.minimum((code[miss] - lo[miss]) // r, _U((1 << _FREQ) - 1))
         order = np.argsort(v)  # sorted needles find their place much faster
-        got = np.empty(len(v), np.int64)
+        got = np.empty(len(v), np.int32)
         got[order] = np.searchsorted(model.cum, v[order], side="right") - 1
         x[miss] = got
         c = model.cum[got]

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, text_of
+from .common import bounded_batches, partitions, text_of
 from .range_coder import SEGMENT, decode_ids, encode_ids
 from .tokens import encoder
 
@@ -48,8 +48,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json",
             return pd.DataFrame([row], columns=[c.split()[0] for c in _BLOCKS.split(", ")])
 
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["text"]):
-                x = np.append(enc.ids(text), np.uint32(end_id)).astype("<u4")
+            for doc_id, x in _documents(b, enc, end_id):
                 if held and held + len(x) > SEGMENT:
                     yield close()
                 ids.append(x)
@@ -59,16 +58,27 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json",
         if held:
             yield close()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     ordered.mapInPandas(blocks, _BLOCKS).write.mode("overwrite").option("compression", "none").parquet(path)
 
 
+def _documents(b: pd.DataFrame, enc, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Ids of each row, the end id included; a few hundred texts are encoded at a time."""
+    for lo in range(0, len(b), 500):
+        part = b.iloc[lo : lo + 500]
+        names = part["doc_id"].astype(object).where(part["doc_id"].notna(), None)
+        for doc_id, x in zip(names, enc.each(part["text"].tolist())):
+            yield doc_id, np.append(x, x.dtype.type(end_id)).astype("<u4")
+
+
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 from the store; ``with_ids`` adds the ids as little-endian uint32.
 
     Only one number per part comes to the driver.
     """
+    bounded_batches(spark)
     store = spark.read.schema(_BLOCKS).parquet(path)
     before, total = {}, 0
     for part, n in sorted(store.groupBy("part").agg(F.sum("n_ids")).collect()):

@@ -1,32 +1,23 @@
-"""Exact, memoised access to the public tokenizer files inside Python workers.
+"""Exact access to the public tokenizer files inside Python workers.
 
-``word_bpe_49k.json`` splits a text into words before it merges, never across
-white space, so a text's ids are the concatenation of its chunks' ids.  Invented
-and natural prose repeats its words, hence :class:`WordEncoder` remembers the ids
-of chunks and words (both memos are bounded) and asks the library only for new
-ones.  Other tokenizers are called on whole texts.
+``word_bpe_49k.json`` splits a text into words before it merges and never across
+white space, so a text's ids are those of its words one after another; its batches
+go through a bounded word table (``wordtable``).  Other tokenizers are called on
+whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
 
 import numpy as np
 
+from .wordtable import WordTable
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
-#: Words that the merge model takes as they are: lower-case letters of ASCII and Latin-1.
-_LETTERS = re.compile("[a-zà-öø-ÿ]+")
-#: Characters that lower-case one to one and are composed (NFC), or punctuation.
-_SIMPLE = re.compile("[\x00-\u012f\u0131-\u024f\u2010-\u203f]*")
-#: A comma or full stop that ends a longer run of punctuation, which is one word.
-_RUN = re.compile("[,.](?=[ \\n])(?<=(?:[^\\w\\s]|[_\x1c-\x1f])[,.])")
-MAX_WORDS = 1_300_000
-
-
 def tokenizer_path(name: str) -> str:
     """Path of a public vocabulary file, or ``name`` itself when it is a path."""
     if os.sep in name:
@@ -50,83 +41,44 @@ class WholeEncoder:
         if path.endswith(".model"):
             import sentencepiece
 
-            self._piece = sentencepiece.SentencePieceProcessor(model_file=path)
-            self._encode = lambda texts: self._piece.encode(texts, num_threads=1)
-            self.size = self._piece.get_piece_size()
+            piece = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.whole = lambda texts: piece.encode(texts, num_threads=1)
+            self.size = piece.get_piece_size()
         else:
             from tokenizers import Tokenizer
 
-            self._tok = Tokenizer.from_file(path)
-            self._tok.no_truncation()
-            self._tok.no_padding()
-            self._encode = lambda texts: [e.ids for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
-            self.size = self._tok.get_vocab_size()
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
+            self.whole = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.size = self.tokenizer.get_vocab_size()
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self._encode([text])[0], dtype="<u4")
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and their numbers."""
+        ids = self.whole(texts)
+        counts = np.array([len(x) for x in ids], np.int64)
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum())), counts
 
-    def count(self, text: str) -> int:
-        return len(self._encode([text])[0])
+    def each(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        ids, counts = self.batch(texts)
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(texts) else []
 
 
 class WordEncoder(WholeEncoder):
-    """The same ids for tokenizers that split at white space and lower-case (ids below 65536).
-
-    Simple texts are lower-cased, commas and full stops that end a word are set
-    off, and the pieces between spaces are looked up in a bounded memo.  Texts
-    with special strings, unusual letters or runs of punctuation before a comma
-    go to the library whole.
-    """
+    """The same ids for tokenizers that lower-case and merge within words of one kind of character (ids below 65536)."""
 
     def __init__(self, name: str):
         super().__init__(name)
         from tokenizers.pre_tokenizers import ByteLevel
 
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self._bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
-        self._words: dict[str, bytes] = {"": b""}
-
-    def _fill(self, chunks: list[str]) -> None:
-        memo = self._words
-        new = set(chunks).difference(memo)
-        if len(memo) + len(new) > MAX_WORDS:
-            memo.clear()
-            new = set(chunks)
-            memo[""] = b""
-            new.discard("")
-        merge, odd = self._tok.model.tokenize, []
-        for c in new:
-            if _LETTERS.fullmatch(c):
-                ids = [t.id for t in merge(c if c.isascii() else c.translate(self._bytes))]
-                memo[c] = np.array(ids, dtype="<u2").tobytes()
-            else:
-                odd.append(c)
-        if odd:
-            for c, ids in zip(odd, self._encode(odd)):
-                memo[c] = np.array(ids, dtype="<u2").tobytes()
-
-    def raw(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 16-bit integers."""
-        if "<|" in text or not (text.isascii() or _SIMPLE.fullmatch(text)):
-            return np.array(self._encode([text])[0], dtype="<u2").tobytes()
-        low = text.lower()
-        if _RUN.search(low):
-            low = low.replace("\n", " ")
-        else:
-            low = low.replace("\n", " ").replace(", ", " , ").replace(". ", " . ")
-        chunks, memo = low.replace("\t", " ").replace("\r", " ").split(" "), self._words
-        try:
-            return b"".join([memo[c] for c in chunks])
-        except KeyError:
-            self._fill(chunks)
-            memo = self._words
-            return b"".join([memo[c] for c in chunks])
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.raw(text), dtype="<u2").astype("<u4")
-
-    def count(self, text: str) -> int:
-        return len(self.raw(text)) // 2
+        as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        tokenize = self.tokenizer.model.tokenize
+        self.table = WordTable(self.whole, lambda w: [t.id for t in tokenize(w if w.isascii() else w.translate(as_bytes))])
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.table.batch(texts)
 
 
 _ENCODERS: dict[str, WholeEncoder] = {}
