@@ -521,6 +521,101 @@ def reads_block(spark, d):
     return back.join(dense.select("read_id", "id"), "read_id").select(F.col("id").alias("read_id"), "identifier", "sequence")
 
 
+@query(r"SELECT page_id, CASE WHEN ends_with(p, '/') THEN p ELSE p || '/' END AS folder FROM (SELECT page_id, replace(replace(url, '/', '\\'), '\\', '/') AS p FROM pages)")
+def path_normalize(spark, d):
+    back = F.translate(F.translate("url", "/", "\\"), "\\", "/")
+    return table(spark, d, "pages").select("page_id", F.when(back.endswith("/"), back).otherwise(F.concat(back, F.lit("/"))).alias("folder"))
+
+
+@query("SELECT page_id, unnest(string_split(replace(url, '/', ';'), ';')) AS part FROM pages")
+def list_split(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.split(F.replace("url", F.lit("/"), F.lit(";")), ";")).alias("part"))
+
+
+@query(r"SELECT conv_id, turn, replace(text, ' ', '') AS joined, regexp_replace(text, '[\x00-\x1f]', ' ', 'g') AS clean FROM conversations")
+def text_cleanup(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.replace("text", F.lit(" "), F.lit("")).alias("joined"), F.regexp_replace("text", r"[\x00-\x1f]", " ").alias("clean"))
+
+
+@query("SELECT event_id, TRY_CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS number, TRY_CAST(event_type AS BIGINT) AS bad FROM events")
+def number_parse(spark, d):
+    return table(spark, d, "events").select("event_id", F.expr("try_cast(regexp_extract(props, '[0-9]+', 0) AS BIGINT)").alias("number"), F.expr("try_cast(event_type AS BIGINT)").alias("bad"))
+
+
+@query("SELECT event_id, value * 60 AS seconds, CAST(round(event_id / 1048576.0 * 100) AS BIGINT) AS mb_hundredths FROM events")
+def unit_conversion(spark, d):
+    return table(spark, d, "events").select("event_id", (F.col("value") * 60).alias("seconds"), F.round(F.col("event_id") / F.lit(1048576.0) * 100).cast("long").alias("mb_hundredths"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_orderkey >> 3 AS hi, l_orderkey & 7 AS lo, ((l_orderkey >> 3) << 3) | (l_orderkey & 7) AS whole, l_orderkey % 32 AS bit FROM lineitem")
+def bit_parts(spark, d):
+    k = F.col("l_orderkey")
+    hi, lo = F.shiftright(k, 3), k.bitwiseAND(F.lit(7).cast("long"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hi.alias("hi"), lo.alias("lo"), F.shiftleft(hi, 3).bitwiseOR(lo).alias("whole"), (k % 32).alias("bit"))
+
+
+@query("SELECT vec_id, list_min(embedding) AS least, len(embedding) AS n, embedding[3] AS third FROM embeddings")
+def array_parts(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.array_min("embedding").alias("least"), F.size("embedding").cast("long").alias("n"), F.element_at("embedding", 3).alias("third"))
+
+
+@query("SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings")
+def axis_base64(spark, d):
+    """A float axis as base64 text and back."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(embedding=[K.base64_to_floats(K.floats_to_base64(x)) for x in b["embedding"]])
+
+    back = table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, embedding array<float>")
+    return back.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN NULL ELSE value END AS precursor FROM events")
+def precursor_of_level(spark, d):
+    return table(spark, d, "events").select("event_id", F.when(F.col("event_type") != "view", F.col("value")).alias("precursor"))
+
+
+@query("SELECT user_id, min_by(event_type, event_id) AS first FROM events GROUP BY user_id")
+def first_wins(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first"))
+
+
+@query("SELECT o_orderkey, l_linenumber, o_orderpriority FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def frame_replication(spark, d):
+    """A frame's record repeated for each of its rows."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    return li.join(o, o["o_orderkey"] == li["l_orderkey"]).select("o_orderkey", "l_linenumber", "o_orderpriority")
+
+
+@query("SELECT event_id, event_type, n FROM events JOIN (SELECT count(*) AS n FROM events) ON true")
+def header_join(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", "event_type").crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("n"))))  # one row
+
+
+@query(f"SELECT block, o, l, row_number() OVER (ORDER BY block, o, l) - 1 AS place FROM {_PEAKS}")
+def block_order(spark, d):
+    """Places in the order of the block directory, over the whole table."""
+    p = peaks(spark, d).select("block", "o", "l")
+    return O.dense_index(p, "block", "place", ("o", "l"))
+
+
+@query("""SELECT event_id, '{"id":' || event_id || ',"kind":"' || event_type || '"}' AS entry FROM events""")
+def json_emit(spark, d):
+    return table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))).alias("entry"))
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_parse(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT source, count(*) AS n FROM (SELECT 'a' AS source FROM nation UNION ALL SELECT 'b' AS source FROM region) GROUP BY source")
+def multi_file_append(spark, d):
+    return table(spark, d, "nation").select(F.lit("a").alias("source")).unionByName(table(spark, d, "region").select(F.lit("b").alias("source"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(None)
 def compression_report(spark, d):
     """Bytes in and out and the reduction in percent, by write mode; sizes depend on the codec library."""
