@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions
+from .common import Workspace, bounded_batches, partitions
 from .components import components
 from .shingles import MinHash, mix64, shingle_set, similar
 
@@ -213,6 +213,7 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     their sketches are close.  Pairs are confirmed on full sets; nothing is capped.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     work = Workspace(spark, "near-dedup")
     trees = trees_for(percent)
     bits = -(-trees * DEEP // 8) * 8
