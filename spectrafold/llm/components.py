@@ -28,7 +28,7 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("x")).agg(F.least(F.col("x"), F.min("v")).alias("m"))
-        large = both.join(least, F.col("u") == F.col("x")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, F.col("u") == F.col("x")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = work.save(large, f"{name}-{step}-large")
         low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v")))

@@ -30,6 +30,8 @@ from .shingles import MinHash, mix64, shingle_set, similar
 DEPTH, DEEP = 4, 8
 #: Up to so many ids are broadcast to pick the texts to compare (24 bytes each); more are joined.
 BROADCAST_IDS = 1_000_000
+#: Sets of a block of the second round; sets of a region beyond which it isn't searched pair by pair.
+BLOCK, WIDE = 1000, 2000
 _REGION = "key long, tail long, rep long, n int, sketch binary"
 _PAIR = "a long, b long, likeness int"
 
@@ -146,8 +148,12 @@ def _neighbours(regions: DataFrame, percent: int, bits: int) -> DataFrame:
     return regions.mapInPandas(run, _PAIR)
 
 
-def _across(regions: DataFrame, percent: int, bits: int) -> DataFrame:
-    """Second round: all pairs of a region that lie in different components (column root) and that the sketches don't rule out."""
+def _undecided(regions: DataFrame, percent: int, bits: int) -> DataFrame:
+    """Second round: sets of regions with several components (column root) whose sketches leave a link across components open.
+
+    Each is tied to the first such set of its region (a star, not the pairs).  Very
+    large regions aren't searched for such pairs; all their sets are undecided.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         limit = _limit(percent, bits)
@@ -157,19 +163,87 @@ def _across(regions: DataFrame, percent: int, bits: int) -> DataFrame:
             begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             end = np.r_[begin[1:], len(key)]
             mixed = np.flatnonzero(np.maximum.reduceat(root, begin) != np.minimum.reduceat(root, begin))
+            found = []
             for lo, hi in zip(begin[mixed], end[mixed]):
-                for i in range(lo, hi - 1):
-                    rest = np.arange(i + 1, hi)
-                    rest = rest[root[rest] != root[i]]
-                    ok = _differing(sketch[rest], sketch[i]) <= limit
-                    rest = rest[ok]
-                    rest = rest[100 * np.minimum(n[i], n[rest]).astype(np.int64) >= percent * np.maximum(n[i], n[rest]).astype(np.int64)]
-                    if len(rest):
-                        yield pd.DataFrame({"a": np.maximum(rep[i], rep[rest]), "b": np.minimum(rep[i], rep[rest]), "likeness": np.zeros(len(rest), np.int32)})
+                hit = np.ones(hi - lo, bool)
+                for at in range(lo, hi, 128) if hi - lo <= WIDE else ():
+                    part, all_ = slice(at, min(at + 128, hi)), slice(lo, hi)
+                    small, large = np.minimum(n[part, None], n[None, all_]), np.maximum(n[part, None], n[None, all_])
+                    ok = (root[part, None] != root[None, all_]) & (100 * small.astype(np.int64) >= percent * large.astype(np.int64))
+                    if ok.any():
+                        ok &= _differing(sketch[part, None], sketch[None, all_]) <= limit
+                    hit[at - lo : part.stop - lo] = ok.any(axis=1)
+                hit = lo + np.flatnonzero(hit)
+                if len(hit) > 1:
+                    found.append(np.stack([rep[hit[1:]], np.full(len(hit) - 1, rep[hit[0]])]))
+            if found:
+                x, y = np.concatenate(found, axis=1)
+                yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y), "likeness": np.zeros(len(x), np.int32)})
 
     return regions.mapInPandas(run, _PAIR)
 
 
+def _block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links across components among the sets of one block, or between two blocks; one for each pair of components at most."""
+    first = rows["block"].to_numpy() == rows["low"].to_numpy()[0]
+    sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
+    rep, root = rows["id"].to_numpy(), rows["root"].to_numpy()
+    same = rows["low"].iloc[0] == rows["high"].iloc[0]
+    asked = np.flatnonzero(first)
+    held = asked if same else np.flatnonzero(~first)
+    if not len(held) or not len(asked):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    size = np.array([len(sets[k]) for k in held])
+    flat, owner = np.concatenate([sets[k] for k in held]), np.repeat(np.arange(len(held)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    leader = {r: r for r in set(root.tolist())}
+
+    def find(x):
+        while leader[x] != x:
+            x = leader[x]
+        return x
+
+    # sets of the commonest component are only asked about, which spares most comparisons
+    values, counts = np.unique(root[asked], return_counts=True)
+    main = values[counts.argmax()]
+    queries = asked[root[asked] != main] if same else asked
+    out = []
+    for q in queries:
+        other = root[held] != root[q]
+        if not other.any():
+            continue
+        lo, hi = np.searchsorted(flat, sets[q], "left"), np.searchsorted(flat, sets[q], "right")
+        n = hi - lo
+        both = np.bincount(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(held))
+        for k in np.flatnonzero(other & (100 * both >= percent * (len(sets[q]) + size - both))):
+            x, y = find(int(root[q])), find(int(root[held[k]]))
+            if x != y:
+                leader[max(x, y)] = min(x, y)
+                out.append((max(rep[q], rep[held[k]]), min(rep[q], rep[held[k]])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def _links_across(ties: DataFrame, roots: DataFrame, texts: DataFrame, work: Workspace, percent: int, width: int) -> DataFrame:
+    """The links that the second round finds, confirmed on full sets.
+
+    Undecided sets that hang together form a cluster.  A cluster is compared with
+    itself in blocks of BLOCK sets, every two blocks in a task of their own, so a
+    large cluster is many tasks of bounded size; no pair leaves its task unless it
+    links two components.
+    """
+    clusters = components(ties, work, "clusters")
+    ids = work.save(ties.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "undecided")
+    named = ids.join(clusters, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("cluster"))
+    sizes = named.groupBy(F.col("cluster").alias("c")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = named.join(sizes, F.col("cluster") == F.col("c")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).select("id", "cluster", "blocks", "block")
+    placed = placed.join(roots, F.col("id") == F.col("u"), "left").select("id", "cluster", "blocks", "block", F.coalesce("v", "id").alias("root"))
+    sets = _sets(texts, ties, work, "members-2", width).withColumnRenamed("id", "i")
+    full = sets.join(work.save(placed, "placed"), F.col("i") == F.col("id")).select("id", "cluster", "block", "root", "members", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    tasks = full.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
+    return tasks.groupBy("cluster", "low", "high").applyInPandas(lambda rows: _block_links(rows, percent), "a long, b long")
+
+
 def _sets(docs: DataFrame, pairs: DataFrame, work: Workspace, name: str, width: int) -> DataFrame:
     """The full shingle sets of the documents in ``pairs``."""
     ids = work.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
@@ -209,8 +283,8 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
 
     Copies (equal sets) are merged on the map side before anything is compared, so
     a large group of copies is one set.  A region is handled in one pass over its
-    sorted rows; no region emits all its pairs unless its sets stay unlinked although
-    their sketches are close.  Pairs are confirmed on full sets; nothing is capped.
+    sorted rows and emits a few pairs for each of its sets; sets that stay undecided
+    are compared in blocks.  All links are confirmed on full sets; nothing is capped.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -238,8 +312,8 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     roots = components(links, work, "roots-1")
 
     lab = ordered(regions.join(roots, F.col("rep") == F.col("u"), "left").select("key", "tail", "rep", "n", "sketch", F.coalesce("v", "rep").alias("root")))
-    far = work.save(_across(lab, percent, bits).select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "pairs-2")
-    links = work.save(links.unionByName(_confirmed(far, _sets(texts, far, work, "members-2", width), percent)), "links-2")
+    ties = work.save(_undecided(lab, percent, bits).select("a", "b").distinct(), "ties")
+    links = work.save(links.unionByName(_links_across(ties, roots, texts, work, percent, width)), "links-2")
     roots = components(links, work, "roots-2")
 
     named = reps.select("digest", "rep").join(roots, F.col("rep") == F.col("u"), "left").select(F.col("digest").alias("g"), F.coalesce("v", "rep").alias("root"))

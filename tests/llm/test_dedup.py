@@ -4,8 +4,9 @@ from collections import Counter
 
 import pytest
 
-from spectrafold.llm.components import components
+from spectrafold.llm import near_dedup
 from spectrafold.llm.common import Workspace
+from spectrafold.llm.components import components
 from spectrafold.llm.exact_dedup import exact_dedup, exact_groups
 from spectrafold.llm.near_dedup import near_groups, trees_for
 
@@ -98,6 +99,25 @@ def test_near_groups(spark, make_docs, percent):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_near_copies_that_drift_apart(spark, make_docs, monkeypatch, block):
+    """A base and many copies edited on their own, most pairs of which are below the bound."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(block)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(120)]
+    rows = []
+    for k in range(90):
+        copy = list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(len(copy))] = word()
+        rows.append((k, " ".join(copy), "s"))
+    component, size = brute_near(rows, 85)
+    assert 1 < len(set(component.values())) < 80
+    got = near_groups(make_docs(rows), percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == component
+
+
 def test_near_groups_odd_tables(spark, make_docs):
     assert near_groups(make_docs([])).count() == 0
     text = " ".join(f"w{k}" for k in range(50))
