@@ -65,5 +65,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def id_columns(name: str = "doc_id") -> list[Column]:
+    """An id for a Python stage: its value and whether it is null, since pandas holds integers with nulls as floats."""
+    value = F.col(name).cast("long")
+    return [F.coalesce(value, F.lit(0)).alias("doc_id"), value.isNull().alias("no_id")]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

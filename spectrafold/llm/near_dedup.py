@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, partitions
+from .common import Workspace, bounded_batches, id_columns, partitions
 from .components import components
 from .shingles import MinHash, mix64, shingle_set, similar
 
@@ -49,10 +49,10 @@ def _sketches(docs: DataFrame, width: int, trees: int) -> DataFrame:
         salt = np.arange(trees, dtype=np.uint64)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
+            for text in b["text"]:
                 s = shingle_set(text, width)
                 if not len(s):
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((0, None, None, None))
                     continue
                 v = minhash.of(s)
                 grid = v.reshape(trees, DEEP).astype(np.uint64)
@@ -63,9 +63,9 @@ def _sketches(docs: DataFrame, width: int, trees: int) -> DataFrame:
                 for k in range(DEPTH, DEEP):
                     tail = (tail << np.uint64(15)) | (grid[:, k] >> np.uint64(17))
                 bits = np.packbits(((v >> np.uint32(11)) & np.uint32(1)).astype(np.uint8))
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.stack([key, tail], 1).tobytes(), bits.tobytes()))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "digest", "keys", "sketch"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.stack([key, tail], 1).tobytes(), bits.tobytes()))
+            out = pd.DataFrame(rows, columns=["n", "digest", "keys", "sketch"])
+            out.insert(0, "doc_id", pd.arrays.IntegerArray(b["doc_id"].to_numpy(), b["no_id"].to_numpy(bool)))
             yield out
 
     return docs.mapInPandas(run, "doc_id long, n int, digest binary, keys binary, sketch binary")
@@ -248,7 +248,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, work: Workspace, name: str, width:
     """The full shingle sets of the documents in ``pairs``."""
     ids = work.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
     few = ids.count() <= BROADCAST_IDS
-    picked = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"]).select("id", "text")
+    picked = docs.filter("not no_id").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id")).select("id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -291,7 +291,7 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     work = Workspace(spark, "near-dedup")
     trees = trees_for(percent)
     bits = -(-trees * DEEP // 8) * 8
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(*id_columns(id_col), F.col(text_col).cast("string").alias("text"))
     rows = work.save(_sketches(texts, width, trees), "sketches")
     usable = rows.filter("n > 0 and doc_id is not null")
     reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))

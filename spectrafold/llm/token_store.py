@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, text_of
+from .common import bounded_batches, id_columns, partitions, text_of
 from .range_coder import SEGMENT, decode_ids, encode_ids
 from .tokens import encoder
 
@@ -59,8 +59,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json",
             yield close()
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    rows = docs.select(*id_columns(id_col), text_of(text_col).alias("text"))
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession), F.desc("no_id"), "doc_id").sortWithinPartitions(F.desc("no_id"), "doc_id", "text")
     ordered.mapInPandas(blocks, _BLOCKS).write.mode("overwrite").option("compression", "none").parquet(path)
 
 
@@ -68,7 +68,7 @@ def _documents(b: pd.DataFrame, enc, end_id: int) -> Iterator[tuple[int | None,
     """Ids of each row, the end id included; a few hundred texts are encoded at a time."""
     for lo in range(0, len(b), 500):
         part = b.iloc[lo : lo + 500]
-        names = part["doc_id"].astype(object).where(part["doc_id"].notna(), None)
+        names = part["doc_id"].astype(object).where(~part["no_id"], None)
         for doc_id, x in zip(names, enc.each(part["text"].tolist())):
             yield doc_id, np.append(x, x.dtype.type(end_id)).astype("<u4")
 
