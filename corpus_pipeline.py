@@ -17,8 +17,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier accepts; it learns from the labels of the folder."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_quality(docs, labels.select("doc_id", F.col("quality").alias("label")))
-    scored = score_quality(docs, model, carry=tuple(docs.columns))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    renamed = docs.toDF(*[f"in_{c}" for c in docs.columns])  # a document may have a column named score
+    scored = score_quality(renamed, model, text_col="in_text", carry=tuple(renamed.columns))
+    return scored.filter("predicted = 1").select(*renamed.columns).toDF(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bounded_batches, text_of
 from .toxicity import labelled_sample
 
 MAX_PER_CLASS = 6000
@@ -177,6 +177,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER
     Only their features come to the driver.  Without rows of both classes the model
     is a constant.
     """
+    bounded_batches(docs.sparkSession)
     sample = F.broadcast(labelled_sample(labels, max_per_class))
     rows = docs.select(F.col("doc_id").alias("id"), text_of().alias("text")).join(sample, F.col("id") == F.col("doc_id")).select("doc_id", "label", "text")
 
@@ -198,14 +199,15 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     Null texts count as empty, whose features are zeros.  Rows are scored on their
     own, so repeated rows and ties agree, and an empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few tables of at most BINS cells
-    keep = docs.select(*carry, text_of(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema[:-1])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            z = shared.value.margin(_matrix(b["__text"])) if len(b) else np.zeros(0)
-            s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield b.drop(columns="__text").assign(score=s, predicted=(s >= 0.5).astype(np.int32))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            z = shared.value.margin(_matrix(texts)) if len(texts) else np.zeros(0)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))), dtype=float)
 
-    return keep.mapInPandas(run, f"{schema}, score double, predicted int")
+    # not deterministic, so that no optimizer rule scores a text twice; only texts go to Python
+    score = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    scored = docs.select(*carry, score(text_of(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bounded_batches, text_of
 
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 3
 #: n-grams in fewer training texts stay zero.
@@ -191,14 +191,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     passage.  Rows are scored on their own, so repeated rows and ties agree, and an
     empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
-    keep = docs.select(*carry, text_of(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema[:-1]) if carry else ""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = _Scorer(shared.value)
-        for b in batches:
-            s = np.array([scorer.score(t) for t in b["__text"]], float)
-            yield b.drop(columns="__text").assign(score=s, predicted=(s >= 0.5).astype(np.int32))
+        for texts in batches:
+            yield pd.Series([scorer.score(t) for t in texts], dtype=float)
 
-    return keep.mapInPandas(run, f"{schema}, score double, predicted int".lstrip(", "))
+    # not deterministic, so that no optimizer rule scores a text twice; only texts go to Python
+    score = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    scored = docs.select(*carry, score(text_of(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
