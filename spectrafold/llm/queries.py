@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import fold, format_chats, parse_chats, turn_events
-from .common import WORD, Workspace, documents, partitions, text_of
+from .common import Workspace, documents, partitions, text_of
 from .exact_dedup import exact_groups
 from .fingerprints import as_text, lanes, likeness, with_next
 from .mixing import mix
@@ -113,8 +113,19 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    word = r"[^\x20\x09-\x0D]+"
+    escaped = r"""regexp_replace(replace({}, '\', '\\'), '([<\[])(/?s>|/?INST\]|/?SYS\])', '\1\\\2', 'g')"""
     return {
+        "op7_chat": f"""
+            WITH c AS (
+                SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+            m AS (
+                SELECT conv_id, count(*) AS n_turns,
+                    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+                    coalesce(string_agg(CASE role WHEN 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '') AS loss,
+                    CAST(sum(17 + length({escaped.format("role")}) + length({escaped.format("text")})) AS BIGINT) AS formatted_chars
+                FROM c GROUP BY conv_id)
+            SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM m""",
         "op9_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
