@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from spectrafold.llm import components as components_module
 from spectrafold.llm import near_dedup
 from spectrafold.llm.common import Workspace
 from spectrafold.llm.components import components
@@ -65,7 +66,9 @@ def test_exact_query_matches_brute_force(spark, sf):
     assert sorted(tuple(r) for r in op9_exact_dedup(spark, sf).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components_module, "SMALL", small)
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 60)] + [(1000, k) for k in range(1001, 1040)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(80)]
     got = {r["u"]: r["v"] for r in components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t"), "c").collect()}
