@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import Workspace, text_of
 
 #: Cells of the survivor set that is broadcast: at most so many rows of one integer.
 CELLS = 1 << 18
@@ -56,6 +56,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.max(F.struct("__id", "__row")).alias("best"), F.count(F.lit(1)).alias("size"))
         .filter("size > 1")
     )
+    # a written table, so that both sides of the last join are plain shuffles, which can be split
+    groups = Workspace(docs.sparkSession, "exact-dedup").save(groups, "groups")
     # a row of no group gets a key of its own, so that such rows don't meet in one task
     key = F.coalesce("__full", F.concat(F.lit("-"), F.col("__row").cast("string")))
     joined = hashed.withColumn("__key", key).join(groups, (F.col("__key") == F.col("g_full")) & (F.col("__len") == F.col("g_len")), "left")
