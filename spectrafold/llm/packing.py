@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions, text_of
+from .common import Workspace, bounded_batches, id_columns, partitions, text_of
 from .hilbert import hilbert_key
 from .tokens import encoder
 
@@ -37,9 +37,11 @@ def curve_keys(ids: list[np.ndarray], vocabulary: int) -> np.ndarray:
     """Hilbert keys of documents given by their ids; a document without ids lies at the origin."""
     table = _projection(vocabulary)
     points = np.zeros((len(ids), DIMS), np.float32)
-    for k, x in enumerate(ids):
-        if len(x):
-            points[k] = table[x].mean(axis=0)
+    sizes = np.array([len(x) for x in ids])
+    some = np.flatnonzero(sizes)
+    if len(some):
+        begin = np.r_[0, np.cumsum(sizes[some])[:-1]]
+        points[some] = np.add.reduceat(table[np.concatenate([ids[k] for k in some])], begin) / sizes[some, None]
     # means of projected tokens lie well within (-0.5, 0.5)
     cells = np.clip((points + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
     return hilbert_key(cells, BITS)
@@ -89,6 +91,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 204
     the range sort by (key, id) splits runs of equal keys, as copies make them.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     work = Workspace(spark, "packing")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,12 +99,12 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 204
         for b in batches:
             for lo in range(0, len(b), 500):
                 part = b.iloc[lo : lo + 500]
-                ids = [enc.ids(t).astype("<u4" if enc.size > 65536 else "<u2") for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "key": curve_keys(ids, enc.size), "ids": [x.tobytes() for x in ids], "wide": [x.itemsize == 4 for x in ids]})
+                ids = [x.astype("<u4" if enc.size > 65536 else "<u2") for x in enc.each(part["text"].tolist())]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "no_id": part["no_id"], "key": curve_keys(ids, enc.size), "ids": [x.tobytes() for x in ids], "wide": [x.itemsize == 4 for x in ids]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    coded = work.save(rows.mapInPandas(encode, "doc_id long, key long, ids binary, wide boolean"), "ids")
-    ordered = coded.repartitionByRange(partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+    rows = docs.select(*id_columns(id_col), text_of(text_col).alias("text"))
+    coded = work.save(rows.mapInPandas(encode, "doc_id long, no_id boolean, key long, ids binary, wide boolean"), "ids")
+    ordered = coded.repartitionByRange(partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id", "no_id", "ids")
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in _PIECES.split(", ")]
@@ -109,7 +112,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 204
 
         def stream():
             for b in batches:
-                for doc_id, ids, wide in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["ids"], b["wide"]):
+                for doc_id, ids, wide in zip(b["doc_id"].astype(object).where(~b["no_id"], None), b["ids"], b["wide"]):
                     yield doc_id, np.append(np.frombuffer(ids, "<u4" if wide else "<u2").astype("<u4"), np.uint32(end_id)).astype("<u4")
 
         out: list[tuple] = []
