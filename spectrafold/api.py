@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.codecs import base64_to_floats, floats_to_base64
+from .functions.columns import duration_text
+from .operators.peaks import gather
 from .plans import convert
 from .sources import container, fastq, imzml, tdf
 
+#: Instrument terms of the header that a source may lack.
+_TERMS = ("msModel", "msDetector", "msIonisation", "msMassAnalyzer")
 FORMATS = {".fastq": "genomics", ".imzml": "metabolomics", ".d": "proteomics", ".parquet": "proteomics"}
 
 
@@ -52,38 +58,70 @@ def convert_files(spark: SparkSession, input_files: str | list[str], output_dir:
     return spark.createDataFrame(rows, "input string, output string, status string, message string")
 
 
+def _text(value) -> str:
+    """A header value, which is one line."""
+    return " ".join(str(value).split())
+
+
+def _scan_facts(facts: DataFrame, count: int | None = None) -> dict[str, str]:
+    """Header facts of scans from one row with start_time and end_time, and with frames and the names of a TDF file where it is one."""
+    row = facts.withColumns({c: duration_text(F.col(c)) for c in ("start_time", "end_time")}).head().asDict()
+    spans = {k: "UnKnown" if row[c] is None or "null" in row[c] else row[c] for k, c in (("startTime", "start_time"), ("endTime", "end_time"))}
+    found = {"msModel": row.get("InstrumentName"), "schemaType": row.get("SchemaType")}
+    terms = dict.fromkeys((*_TERMS, "msManufacturer"), "UnKnown") | {"schemaType": "None"}
+    return {"scanCount": str(row["frames"] if count is None else count), **spans, **terms, **{k: _text(v) for k, v in found.items() if v}}
+
+
+def _imaging_facts(info: dict) -> dict[str, str]:
+    """Header facts of an imaging file; sizes with their units."""
+    size = lambda key: _text(f"{info.get(key, '')} {info['units'].get(key, '')}")
+    names = {"pixelSize": "pixel", "maxDimension": "dim", "maxCountofPixel": "max"}
+    sizes = {f"{name}_{c}": size(f"{key}{c}") for name, key in names.items() for c in "XY"}
+    count = info["spectrumCount"]
+    return {"scanCount": "" if count is None else str(count), **sizes, **{k: _text(info.get(k) or "UnKnown") for k in _TERMS}}
+
+
 def _convert(spark: SparkSession, path: str, suffix: str, out: str, mode: str, precision: float, skip_zero: bool) -> None:
-    facts = {"parentFile": path, "parentFormat": suffix[1:]}
+    facts = {"date": time.strftime("%Y-%m-%dT%H:%M:%S"), "parentFile": path, "parentFormat": suffix[1:]}
     if suffix == ".fastq":
         reads = fastq.read_fastq(spark, path)
+        count, length = reads.agg(F.count("sequence"), F.max(F.when(F.col("read_id") == 0, F.length("sequence")))).head()
+        facts |= {"readLength": "" if length is None else str(length), "readCount": str(count)}
         convert.write_container(convert.encode_reads(reads, mode), out, "Genomics", mode, **facts)
         return
     if suffix == ".imzml":
         info = imzml.header(spark, path)
         spectra, continuous = imzml.read_imzml(spark, path), info["storage"] == "continuous"
-        facts |= {"storage": info["storage"], "precision": str(precision)}
+        facts |= {"storage": info["storage"], "precision": str(precision), **_imaging_facts(info)}
         if continuous:
             axis = spectra.select("mz").head()
-            from .functions.codecs import floats_to_base64
-
             facts |= {"continuousMzCode": floats_to_base64(axis[0] if axis else [], "f64"), "continuousMzEncoding": "f64"}
         convert.write_container(convert.encode_spectra(spectra, mode, continuous, precision), out, "Metabolomics", mode, **facts)
         return
     if suffix == ".d":
         tables = tdf.read_tables(spark, os.path.join(path, "analysis.tdf"))
-        made = tdf.scans(tables, spark.read.parquet(os.path.join(path, "peaks.parquet")))
+        peaks, axis = spark.read.parquet(os.path.join(path, "peaks.parquet")), os.path.join(path, "axis.parquet")
+        mobility = tdf.mobility_axis(spark.read.parquet(axis), peaks) if os.path.exists(container.mounted(axis)) else None
+        facts |= _scan_facts(tdf.file_info(tables)) | {"mobilityValue": "None" if mobility is None else floats_to_base64(mobility)}
+        made = tdf.scans(tables, peaks)
         from .operators.ordered import dense_index
 
         kept = convert.filter_scans(made, skip_zero)
         scans = dense_index(kept, "frame", "scan_index", ("isolation_mz",))
     else:
-        scans = convert.filter_scans(spark.read.parquet(path), skip_zero)
+        source = spark.read.parquet(path)
+        scans = convert.filter_scans(source, skip_zero)
+        ends = source.agg(F.min_by("rt", "scan_index").alias("start_time"), F.max_by("rt", "scan_index").alias("end_time"))
+        facts |= _scan_facts(ends, scans.count()) | {"mobilityValue": "None"}
     facts["precision"] = str(precision)
     convert.write_container(convert.encode_scans(scans, mode, precision), out, "Proteomics", mode, **facts)
 
 
 def parse_omg_file(spark: SparkSession, omg_file: str, read_mode: str = "disk") -> DataFrame:
-    """Decoded entries of a container: scans, spectra or reads, by its header; ``memory`` keeps the blocks cached."""
+    """Decoded entries of a container: scans, spectra or reads, by its header; ``memory`` keeps the blocks cached.
+
+    Scans get a column ``mobility``, the 1/K0 of each peak by the file's axis; null where the file has none.
+    """
     _register(spark)
     if read_mode not in ("disk", "memory"):
         raise ValueError(f"unknown read mode {read_mode}")
@@ -98,12 +136,24 @@ def parse_omg_file(spark: SparkSession, omg_file: str, read_mode: str = "disk")
         continuous = info.get("storage") == "continuous"
         out = convert.decode_spectra(blocks, mode, continuous, precision)
         if continuous:
-            from .functions.codecs import base64_to_floats
-
             axis = base64_to_floats(info["continuousMzCode"], info.get("continuousMzEncoding", "f32")).tolist()
             out = out.drop("mz").crossJoin(F.broadcast(spark.createDataFrame([(axis,)], "mz array<double>")))  # one row
         return out
-    return convert.decode_scans(blocks, mode, precision)
+    return _with_mobility(spark, convert.decode_scans(blocks, mode, precision), info)
+
+
+def _mobility(info: dict):
+    """1/K0 by scan number, or None."""
+    code = info.get("mobilityValue", "None")
+    return None if code in ("", "None") else base64_to_floats(code).tolist()
+
+
+def _with_mobility(spark: SparkSession, scans: DataFrame, info: dict) -> DataFrame:
+    axis = _mobility(info)
+    if axis is None:
+        return scans.withColumn("mobility", F.lit(None).cast("array<float>"))
+    held = F.broadcast(spark.createDataFrame([(axis,)], "__axis array<float>"))  # one row
+    return scans.crossJoin(held).withColumn("mobility", gather(F.col("__axis"), F.col("mobility_index"))).drop("__axis")
 
 
 def get_entry(spark: SparkSession, omg_file: str, entry: int) -> DataFrame:
@@ -111,12 +161,18 @@ def get_entry(spark: SparkSession, omg_file: str, entry: int) -> DataFrame:
     _register(spark)
     info = container.file_header(omg_file)
     block = spark.read.format("omicsblocks").load(omg_file).filter(F.col("block_id") == entry)
-    decode = {"Genomics": convert.decode_reads, "Metabolomics": lambda b, m: convert.decode_spectra(b, m, info.get("storage") == "continuous", float(info.get("precision", "0.001"))), "Proteomics": lambda b, m: convert.decode_scans(b, m, float(info.get("precision", "0.001")))}[info["omics"]]
+    decode = {"Genomics": convert.decode_reads, "Metabolomics": lambda b, m: convert.decode_spectra(b, m, info.get("storage") == "continuous", float(info.get("precision", "0.001"))), "Proteomics": lambda b, m: _with_mobility(spark, convert.decode_scans(b, m, float(info.get("precision", "0.001"))), info)}[info["omics"]]
     return decode(block, info["writeFormat"])
 
 
 def get_basic_info(omg_file: str) -> dict:
-    return container.file_header(omg_file)
+    """The header; its mobility and m/z axes as lists of numbers."""
+    info = container.file_header(omg_file)
+    if (axis := _mobility(info)) is not None:
+        info["mobilityValue"] = axis
+    if code := info.get("continuousMzCode"):
+        info["continuousMzCode"] = base64_to_floats(code, info.get("continuousMzEncoding", "f32")).tolist()
+    return info
 
 
 def get_entry_number(omg_file: str) -> int:

@@ -18,6 +18,7 @@ TYPES = {"MS:1000519": "i32", "MS:1000521": "f32", "MS:1000522": "i64", "MS:1000
 COMPRESSION = {"MS:1000574": "zlib", "MS:1000576": "none"}
 OFFSET, LENGTH, ENCODED = "IMS:1000102", "IMS:1000103", "IMS:1000104"
 SETTINGS = {"IMS:1000042": "maxX", "IMS:1000043": "maxY", "IMS:1000044": "dimX", "IMS:1000045": "dimY", "IMS:1000046": "pixelX", "IMS:1000047": "pixelY"}
+COMPONENTS = {"msIonisation": "source", "msMassAnalyzer": "analyzer", "msDetector": "detector"}
 
 _SPECTRUM = "_id string, _index long, cvParam array<struct<_accession string, _value string>>, scanList struct<scan: struct<cvParam: array<struct<_accession: string, _value: string>>, userParam: array<struct<_name: string, _value: string>>>>, binaryDataArrayList struct<binaryDataArray: array<struct<cvParam: array<struct<_accession: string, _value: string>>, referenceableParamGroupRef: struct<_ref: string>>>>"
 SPECTRA = "file string, spectrum_id long, pos_x float, pos_y float, pos_3dx float, pos_3dy float, pos_3dz float, array_length long, mz array<double>, intensity array<double>"
@@ -54,10 +55,13 @@ def parse_header(text: str) -> dict:
             own = params(group)
             info["arrays"][kind] = {"ref": name, "encoding": next((TYPES[a] for a in own if a in TYPES), "f32"), "compressed": any(COMPRESSION.get(a) == "zlib" for a in own)}
     info |= {key: found[a][1] for a, key in SETTINGS.items() if a in found}
+    info["units"] = {key: u[1] for a, key in SETTINGS.items() for t in re.findall(rf'<cvParam\b[^>]*accession="{a}"[^>]*>', text) if (u := re.search(r'\bunitName="([^"]*)"', t))}
     instrument = re.search(r"<instrumentConfiguration\b.*?</instrumentConfiguration>", text, re.S)
     if instrument:
-        first = re.search(r"<cvParam\b[^>]*>", instrument[0])
-        info["msModel"] = (re.search(r'name="([^"]*)"', first[0]) or [0, ""])[1] if first else ""
+        parts = {"msModel": instrument[0]} | {key: (re.search(rf"<{t}\b.*?</{t}>", instrument[0], re.S) or [""])[0] for key, t in COMPONENTS.items()}
+        for key, part in parts.items():
+            first = re.search(r"<cvParam\b[^>]*>", part)
+            info[key] = (re.search(r'\bname="([^"]*)"', first[0]) or [0, ""])[1] if first else ""
     count = re.search(r'<spectrumList\b[^>]*\bcount="(\d+)"', text)
     info["spectrumCount"] = int(count[1]) if count else None
     return info

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.peaks import axes_agree
+
 # Fixed table layouts.
 TABLES = {
     "GlobalMetadata": "Key string, Value string",
@@ -111,3 +114,23 @@ def scans(tables: dict[str, DataFrame], peaks: DataFrame) -> DataFrame:
     packed = each.groupBy("frame", "isolation_mz", "rt", "type", "collision_energy").agg(F.array_sort(F.collect_list(F.struct("mz", "scan_no", "intensity"))).alias("p"))
     level = F.when(F.col("type") == 0, 1).otherwise(2)
     return packed.select("frame", "isolation_mz", F.col("rt").cast("float").alias("rt"), level.alias("ms_level"), F.when(level == 2, F.col("isolation_mz")).cast("float").alias("precursor_mz"), F.col("collision_energy").cast("float").alias("collision_energy"), F.transform("p", lambda x: x["mz"]).alias("mz"), F.transform("p", lambda x: x["intensity"]).alias("intensity"), F.transform("p", lambda x: x["scan_no"]).alias("mobility_index"))
+
+
+def mobility_axis(axis: DataFrame, peaks: DataFrame) -> list[float]:
+    """1/K0 of the scan numbers 0, 1, ... from the table axis (scan_no, ook0, and frame where each frame has its own).
+
+    Frames that differ at a scan number (cut to six decimals) are an error, and so are
+    gaps, values that aren't finite, and peaks beyond the axis; the first frame's values count.
+    """
+    if differing := axes_agree(axis, "scan_no", "ook0").orderBy("scan_no").head():
+        raise ValueError(f"the mobility axes of the frames differ at scan number {differing['scan_no']}")
+    value = F.min_by("ook0", "frame") if "frame" in axis.columns else F.min("ook0")
+    rows = axis.groupBy("scan_no").agg(value.alias("ook0"), F.count_if(F.col("ook0").isNull() | F.isnan("ook0")).alias("bad")).orderBy("scan_no").collect()
+    if [r["scan_no"] for r in rows] != list(range(len(rows))):
+        raise ValueError("the scan numbers of the mobility axis aren't 0, 1, ...")
+    if any(r["bad"] or not np.isfinite(r["ook0"]) for r in rows):
+        raise ValueError("the mobility axis holds values that aren't finite")
+    low, high = peaks.agg(F.min("scan_no"), F.max("scan_no")).head()
+    if low is not None and (low < 0 or high >= len(rows)):
+        raise ValueError(f"peaks of the scan numbers {low} to {high} don't fit a mobility axis of {len(rows)}")
+    return [r["ook0"] for r in rows]

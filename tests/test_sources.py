@@ -198,3 +198,55 @@ def test_tdf_unknown_type(spark, tmp_path):
     peaks = spark.createDataFrame([(1, 0, 1.0, 1.0)], "frame long, scan_no long, mz double, intensity double")
     with pytest.raises(Exception, match="unsupported frame type"):
         tdf.scans(tables, peaks).collect()
+
+
+def write_run(spark, folder, axis):
+    write_tdf(folder, [(1, 4, 0.5, 0), (2, 4, 61.256, 0)])
+    spark.createDataFrame([(f, s, 100.0 + s + k, 5.0) for f in (1, 2) for s in range(4) for k in range(3)], "frame long, scan_no long, mz double, intensity double").write.parquet(f"{folder}/peaks.parquet")
+    if axis is not None:
+        spark.createDataFrame(axis, "frame long, scan_no long, ook0 double").write.parquet(f"{folder}/axis.parquet")
+    return spark
+
+
+AXIS = [(f, s, 1.5 - s / 8 + f * 1e-8) for f in (1, 2) for s in range(4)]
+
+
+@pytest.mark.parametrize("mode", ["binary", "json", "yaml"])
+def test_tdf_header_and_mobility(spark, tmp_path, mode):
+    write_run(spark, tmp_path / "run.d", AXIS)
+    done = api.convert_files(spark, f"{tmp_path}/run.d", f"{tmp_path}/o", mode).head()
+    assert done["status"] == "ok", done["message"]
+    info = api.get_basic_info(done["output"])
+    assert (info["scanCount"], info["startTime"], info["endTime"], info["msModel"], info["msDetector"], info["schemaType"]) == ("2", "PT0.50S", "PT61.26S", "timsTOF", "UnKnown", "TDF")
+    want = np.array([1.5, 1.375, 1.25, 1.125])
+    assert np.allclose(info["mobilityValue"], want, atol=1e-6)
+    rows = [*api.parse_omg_file(spark, done["output"]).collect(), *api.get_entry(spark, done["output"], 1).collect()]
+    assert len(rows) == 3 and all(np.allclose(r["mobility"], want[r["mobility_index"]], atol=1e-6) and len(r["mobility"]) == 12 for r in rows)
+
+
+@pytest.mark.parametrize("axis, reason", [([*AXIS[:-1], (2, 3, 1.1250025)], "differ at scan number 3"), (AXIS[1:4], "aren't 0, 1"), (AXIS[:3], "don't fit"), ([*AXIS[:3], (1, 3, None)], "finite"), ([*AXIS[:3], (1, 3, float("inf"))], "finite")])
+def test_tdf_bad_axis(spark, tmp_path, axis, reason):
+    write_run(spark, tmp_path / "run.d", axis)
+    done = api.convert_files(spark, f"{tmp_path}/run.d", f"{tmp_path}/o").head()
+    assert done["status"] == "failed" and reason in done["message"]
+
+
+def test_headers_without_axis(spark, tmp_path):
+    write_run(spark, tmp_path / "run.d", None)
+    make_scans(spark).write.parquet(f"{tmp_path}/p.parquet")
+    write_reads(tmp_path / "r.fastq", 7)
+    write_imzml(tmp_path, "continuous", "f32", False, [(1, 1, None), (1, 2, None)])
+    text = (tmp_path / "img.imzML").read_text()
+    settings = '<cvParam accession="IMS:1000046" name="pixel size" value="50" unitName="micrometer"/></scanSettings>'
+    parts = "".join(f'<{t} order="1"><cvParam accession="MS:2" name="{n}"/></{t}>' for t, n in (("source", "MALDI"), ("analyzer", "TOF"), ("detector", "MCP")))
+    (tmp_path / "img.imzML").write_text(text.replace("</scanSettings>", settings, 1).replace("</instrumentConfiguration>", f"<componentList>{parts}</componentList></instrumentConfiguration>", 1))
+    files = [f"{tmp_path}/{f}" for f in ("run.d", "p.parquet", "r.fastq", "img.imzML")]
+    run, scans, reads, image = (r["output"] for r in api.convert_files(spark, files, f"{tmp_path}/o").collect())
+    assert api.get_basic_info(run)["mobilityValue"] == "None" and {r["mobility"] for r in api.parse_omg_file(spark, run).collect()} == {None}
+    info = api.get_basic_info(scans)
+    assert (info["scanCount"], info["startTime"], info["endTime"], info["msModel"]) == (str(api.get_entry_number(scans)), "PT0.00S", "PT39.00S", "UnKnown")
+    info = api.get_basic_info(reads)
+    assert (info["readCount"], info["readLength"]) == ("7", "1") and info["date"]
+    info = api.get_basic_info(image)
+    assert (info["scanCount"], info["maxCountofPixel_X"], info["pixelSize_X"], info["pixelSize_Y"], info["maxDimension_X"]) == ("2", "3", "50 micrometer", "", "")
+    assert (info["msModel"], info["msIonisation"], info["msMassAnalyzer"], info["msDetector"]) == ("model", "MALDI", "TOF", "MCP") and info["continuousMzCode"] == [float(k) for k in range(100, 112)]
