@@ -1,7 +1,8 @@
 r"""Homomorphic multiset fingerprints of documents, in DataFrame functions only.
 
-A text is cut into paragraph pieces: up to 64 characters of a sentence together
-with the marks that end it.  Each piece hashes to a wide vector, 120 lanes of 0 or
+A paragraph is a line of the text.  It is cut into pieces, up to 64 characters of a
+sentence together with the marks that end it; line ends belong to no piece, so a
+paragraph has the same pieces wherever it stands, and blank lines don't count.  Each piece hashes to a wide vector, 120 lanes of 0 or
 1 and four wide lanes, and a document's fingerprint is the sum of its pieces'
 vectors, modulo 2**60 for each packed triple of lanes (20 bits a lane) and modulo
 2**32 for each wide lane.  Sums don't depend on the order of pieces, and inserting
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-PIECE = r"[^.!?|\n]{1,64}+[.!?|\n]*+|[.!?|\n]++"
+PIECE = r"[^.!?|\r\n]{1,64}+[.!?|]*+|[.!?|]++"
 _SHIFTS = 20
 _TRIPLE = 1 | 1 << 20 | 1 << 40
 _LOW60 = (1 << 60) - 1
@@ -148,6 +149,6 @@ def with_next(docs: DataFrame, n: int) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and its fingerprint lanes for every row; null texts count as empty, an empty text has no pieces and a fingerprint of zeros."""
+    """doc_id, text and its fingerprint lanes for every row; null texts count as empty, an empty text (or one of line ends only) has no pieces and a fingerprint of zeros."""
     text = text_of(text_col)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("lanes", lanes(F.col("text")))

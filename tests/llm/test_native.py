@@ -115,6 +115,14 @@ def test_fingerprints(spark, make_docs):
     assert got["e"]
 
 
+def test_fingerprint_of_an_unterminated_paragraph(spark):
+    long = "Five words of a sentence, " * 9 + "end. More"
+    rows = [("A\n\nB", "B\n\nA", "A", "B"), (f"{long}\r\nB.", f"B.\r\n{long}", long, "B."), ("x | y\n!\n?", "?\n\n!\nx | y\n", "x | y", "?\n!")]
+    one, two, first, rest = (lanes(F.col(c)) for c in ("one", "two", "first", "rest"))
+    got = spark.createDataFrame(rows, "one string, two string, first string, rest string").select((one == two).alias("moved"), (combine(first, rest) == one).alias("added"), (combine(two, rest, -1) == first).alias("cut"), (one == first).alias("same"))
+    assert [tuple(r) for r in got.collect()] == [(True, True, True, False)] * 3
+
+
 def test_fingerprint_query(spark, sf):
     from spectrafold.llm.queries import op8_fingerprints
 
