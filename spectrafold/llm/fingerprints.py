@@ -4,8 +4,7 @@ A paragraph is a line of the text.  It is cut into pieces, up to 64 characters o
 sentence together with the marks that end it; line ends belong to no piece, so a
 paragraph has the same pieces wherever it stands, and blank lines don't count.  Each piece hashes to a wide vector, 120 lanes of 0 or
 1 and four wide lanes, and a document's fingerprint is the sum of its pieces'
-vectors, modulo 2**60 for each packed triple of lanes (20 bits a lane) and modulo
-2**32 for each wide lane.  Sums don't depend on the order of pieces, and inserting
+vectors, exact for each 0/1 lane and modulo 2**32 for each wide lane.  Sums don't depend on the order of pieces, and inserting
 or deleting a paragraph adds or subtracts its vector (:func:`combine`).
 
 The 0/1 lanes, centred by the number of pieces, are random signs; the cosine of two
@@ -15,17 +14,17 @@ documents of any length.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
 
 PIECE = r"[^.!?|\r\n]{1,64}+[.!?|]*+|[.!?|]++"
-_SHIFTS = 20
-_TRIPLE = 1 | 1 << 20 | 1 << 40
-_LOW60 = (1 << 60) - 1
+_LANES = 120
+#: Two lanes are summed in one number.  All pieces but the last take two bytes at least, of fewer than 2**31, so no lane carries into the other.
+_PAIR_BITS = 30
+_PAIR = 1 | 1 << _PAIR_BITS
+_LOW_LANE = (1 << _PAIR_BITS) - 1
 _LOW32 = (1 << 32) - 1
 _WIDE = 4
 
@@ -40,19 +39,21 @@ def _hashes(text: Column) -> Column:
 
 
 def lanes(text: Column) -> Column:
-    """The fingerprint as numbers: array<bigint> of the piece count, the packed lanes and the wide lanes."""
+    """The fingerprint as numbers: array<bigint> of the piece count, the 0/1 lanes and the wide lanes."""
 
     def of(hashes: Column) -> Column:
         count = F.size(hashes).cast("long")
-        one = F.lit(_TRIPLE)
+        one = F.lit(_PAIR)
 
         def packed(field: str, shift: int) -> Column:
-            return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: (s + F.shiftrightunsigned(h[field], shift).bitwiseAND(one)).bitwiseAND(F.lit(_LOW60)))
+            return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.shiftrightunsigned(h[field], shift).bitwiseAND(one))
 
         def wide(field: str, shift: int) -> Column:
             return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: (s + F.shiftrightunsigned(h[field], shift).bitwiseAND(F.lit(_LOW32))).bitwiseAND(F.lit(_LOW32)))
 
-        return F.array(count, *[packed(f, k) for f in "ab" for k in range(_SHIFTS)], *[wide(f, k) for f in "cd" for k in (0, 32)])
+        pairs = F.array(*[packed(f, k) for f in "ab" for k in range(_LANES // 4)])
+        each = F.flatten(F.transform(pairs, lambda v: F.array(v.bitwiseAND(F.lit(_LOW_LANE)), F.shiftright(v, _PAIR_BITS))))
+        return F.concat(F.array(count), each, F.array(*[wide(f, k) for f in "cd" for k in (0, 32)]))
 
     # a one-element transform names the hashes once for all sums
     return F.get(F.transform(F.array(_hashes(text)), of), F.lit(0))
@@ -65,16 +66,10 @@ def as_text(fingerprint: Column) -> Column:
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint of the multiset sum (sign 1) or difference (sign -1) of two documents' pieces."""
-    n = 1 + 2 * _SHIFTS
-
-    def lane(x: Column, y: Column) -> Column:
-        # lane by lane, so that no borrow leaves a 20-bit lane
-        parts = [(F.shiftright(x, s).bitwiseAND(F.lit(0xFFFFF)) + sign * F.shiftright(y, s).bitwiseAND(F.lit(0xFFFFF))).bitwiseAND(F.lit(0xFFFFF)) for s in (0, 20, 40)]
-        return reduce(lambda p, q: p.bitwiseOR(q), [F.shiftleft(p, s) for p, s in zip(parts, (0, 20, 40))])
-
-    triples = F.zip_with(F.slice(a, 2, 2 * _SHIFTS), F.slice(b, 2, 2 * _SHIFTS), lane)
+    n = 1 + _LANES
+    sums = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x + sign * y)
     wide = F.zip_with(F.slice(a, n + 1, _WIDE), F.slice(b, n + 1, _WIDE), lambda x, y: (x + sign * y).bitwiseAND(F.lit(_LOW32)))
-    return F.concat(F.array(F.get(a, F.lit(0)) + sign * F.get(b, F.lit(0))), triples, wide)
+    return F.concat(sums, wide)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -82,12 +77,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     def signs(x: Column) -> Column:
         n = F.get(x, F.lit(0))
-        packed = F.slice(x, 2, 2 * _SHIFTS)
-
-        def third(shift: int) -> Column:
-            return F.transform(packed, lambda v: (2 * F.shiftright(v, shift).bitwiseAND(F.lit(0xFFFFF)) - n).cast("double"))
-
-        return F.concat(third(0), third(20), third(40))
+        return F.transform(F.slice(x, 2, _LANES), lambda v: (2 * v - n).cast("double"))
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
