@@ -140,21 +140,24 @@ def labelled_sample(labels: DataFrame, per_class: int) -> DataFrame:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_chars: int = 60_000_000) -> ToxicityModel:
     """Trains on at most ``max_per_class`` labelled documents of each class (labels: doc_id, label).
 
-    Whole texts are used; where the sample would hold more than ``max_chars``
-    characters, its longest texts are left out of training.  Without rows of both
-    classes every score is 0.5 or lower.
+    Whole texts of any length are used.  Where the sample would hold more than
+    ``max_chars`` characters, documents are taken by hash order as long as they fit,
+    whatever their length; only their texts reach the driver.  Without rows of
+    both classes every score is 0.5 or lower.
     """
     sample = F.broadcast(labelled_sample(labels, max_per_class))
     rows = docs.select(F.col("doc_id").alias("id"), text_of().alias("text")).join(sample, F.col("id") == F.col("doc_id")).select("doc_id", "label", "text")
-    fair = max_chars // (2 * max_per_class) * 8
-    got = sorted((r for r in rows.filter(F.length("text") <= fair).collect()), key=lambda r: (len(r["text"]), r["doc_id"], r["text"]))
-    texts, y, held = [], [], 0
-    for r in got:
-        held += len(r["text"])
-        if held > max_chars:
-            break
-        texts.append(r["text"])
-        y.append(r["label"])
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.length("text").cast("long")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    picked, held = [], 0
+    for r in sizes:
+        if held + r["n"] <= max_chars:
+            held += r["n"]
+            picked.append((r["doc_id"],))
+    if len(picked) < len(sizes):
+        few = docs.sparkSession.createDataFrame(picked, "picked long")
+        rows = rows.join(F.broadcast(few), F.col("doc_id") == F.col("picked"), "left_semi")
+    got = sorted(rows.collect(), key=lambda r: (len(r["text"]), r["doc_id"], r["text"]))
+    texts, y = [r["text"] for r in got], [r["label"] for r in got]
     if len(set(y)) < 2:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), -2.0)
     return train(texts, np.array(y, float))

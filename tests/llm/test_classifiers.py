@@ -85,3 +85,18 @@ def test_toxicity_of_held_out_rows(spark):
     rows = [r for r in op1_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in label]
     y = np.array([label[r["doc_id"]] for r in rows])
     assert auc(np.array([r["score"] for r in rows]), y) > 0.97
+
+
+def test_toxicity_learns_long_texts(spark, make_docs, monkeypatch):
+    """Length doesn't keep a labelled text out of training; beyond the bound on all characters the hash decides."""
+    sizes = {k: 90_000 if k % 2 else 2_000 for k in range(20)}
+    docs = make_docs([(k, "abcd " * (n // 5), "s") for k, n in sizes.items()])
+    labels = spark.createDataFrame([(k, k % 4 // 2) for k in sizes], LABELS)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(sorted(map(len, texts))))
+    toxicity.fit_toxicity(docs, labels)
+    toxicity.fit_toxicity(docs, labels, max_chars=400_000)
+    assert seen[0] == sorted(sizes.values())
+    assert sum(seen[1]) <= 400_000 and seen[1].count(90_000) == 4
+    toxicity.fit_toxicity(docs, labels, max_chars=1_000)
+    assert len(seen) == 2
