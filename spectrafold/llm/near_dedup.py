@@ -3,14 +3,15 @@
 Every distinct shingle set gets MinHash values for TREES trees.  A tree orders the
 sets by its values; sets that share the first DEPTH values are a region of the tree,
 and within a region the order by the following values puts those with the longest
-common prefixes side by side.  Candidates come from regions in two rounds of
-adaptive depth: first each set is paired with the neighbours of its longest common
+common prefixes side by side.  The depth of regions is fixed, whatever their size: a
+large region isn't split at deeper prefixes.  Candidates come from regions in two
+rounds: first each set is paired with the neighbours of its longest common
 prefixes, and the pairs that hold on full sets are linked; regions whose sets
 then lie in one component are done, and only regions that still hold several
 are searched at their full width, across components.
 
 A pair at the least similarity s shares a region with probability
-1 - (1 - s**DEPTH)**TREES: 0.99999 at 0.85 and 0.9999 at 0.8 (20 and 24 trees).
+1 - (1 - s**DEPTH)**TREES: 0.99999 at 0.85 and at 0.8 (16 and 22 trees).
 """
 
 from __future__ import annotations
