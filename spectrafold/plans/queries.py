@@ -251,6 +251,75 @@ def batch_concat(spark, d):
     return e.select("batch", F.array_join(F.transform("a", lambda x: x["s"]), "").alias("joined"))
 
 
+# The text codecs over the long texts of documents.
+
+
+def _documents(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def _document_letters(spark, d) -> DataFrame:
+    return _documents(spark, d).select("doc_id", F.translate("text", "aeiouAEIOU", "ATGCNATGCN").alias("s"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def zstd_roundtrip_documents(spark, d):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(text=[None if t is None else K.unzstd(K.zstd(t.encode())).decode() for t in b["text"]])
+
+    return _documents(spark, d).mapInPandas(run, "doc_id long, text string")
+
+
+@query("SELECT doc_id, base64(encode(text)) AS code FROM documents")
+def base64_encode_documents(spark, d):
+    return _documents(spark, d).select("doc_id", C.plain_base64(F.encode("text", "UTF-8")).alias("code"))
+
+
+@query("SELECT doc_id, decode(from_base64(base64(encode(text)))) AS text FROM documents")
+def base64_decode_documents(spark, d):
+    code = C.plain_base64(F.encode("text", "UTF-8"))
+    return _documents(spark, d).select("doc_id", F.decode(F.unbase64(code), "UTF-8").alias("text"))
+
+
+@query(f"SELECT doc_id, translate(regexp_replace({_LETTERS}, '[^ATGC]', 'A', 'g'), 'ATGC', '0123') AS codes FROM documents")
+def pack2bit_codes_documents(spark, d):
+    return _document_letters(spark, d).select("doc_id", F.translate(F.regexp_replace("s", "[^ATGC]", "A"), "ATGC", "0123").alias("codes"))
+
+
+@query(f"SELECT doc_id, i - 1 AS place FROM (SELECT doc_id, {_LETTERS} AS s, unnest(range(1, length({_LETTERS}) + 1)) AS i FROM documents) WHERE substr(s, i, 1) NOT IN ('A', 'T', 'G', 'C')")
+def n_positions_documents(spark, d):
+    letters = _document_letters(spark, d).filter("s <> ''").select("doc_id", F.posexplode(F.split("s", "")).alias("place", "c"))
+    return letters.filter("c <> '' AND c NOT IN ('A', 'T', 'G', 'C')").select("doc_id", F.col("place").cast("long").alias("place"))
+
+
+@query(f"SELECT doc_id, {_LETTERS} AS s FROM documents")
+def pack2bit_bytes_roundtrip_documents(spark, d):
+    def back(s: str) -> str:
+        raw = s.encode()
+        packed, escapes, letters = K.pack_bases(raw)
+        return K.unpack_bases(packed, len(raw), escapes, letters).decode()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(s=[None if s is None else back(s) for s in b["s"]])
+
+    return _document_letters(spark, d).mapInPandas(run, "doc_id long, s string")
+
+
+@query("SELECT doc_id // 512 AS batch, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n FROM documents GROUP BY ALL")
+def read_batches_documents(spark, d):
+    batch = F.floor(F.col("doc_id") / C.READS_PER_BATCH)
+    return _documents(spark, d).groupBy(batch.alias("batch")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id // 64 AS batch, string_agg(coalesce(text, ''), '' ORDER BY doc_id) AS joined FROM documents GROUP BY ALL")
+def batch_concat_documents(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    e = _documents(spark, d).groupBy(F.floor(F.col("doc_id") / 64).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("doc_id", text.alias("s")))).alias("a"))
+    return e.select("batch", F.array_join(F.transform("a", lambda x: x["s"]), "").alias("joined"))
+
+
 _TOKENS = "SELECT page_id, unnest(string_split(replace(replace(url, '/', ':'), ' ', ':\t:'), ':')) AS token, unnest(range(0, len(string_split(replace(replace(url, '/', ':'), ' ', ':\t:'), ':')))) AS pos, len(string_split(replace(replace(url, '/', ':'), ' ', ':\t:'), ':')) AS n FROM pages"
 _TOKENS = f"SELECT page_id, pos, token FROM ({_TOKENS}) WHERE NOT (pos = n - 1 AND token = '')"
 
@@ -521,6 +590,15 @@ def reads_block(spark, d):
     return back.join(dense.select("read_id", "id"), "read_id").select(F.col("id").alias("read_id"), "identifier", "sequence")
 
 
+@query("SELECT doc_id AS read_id, coalesce(source, '') AS identifier, coalesce(text, '') AS sequence FROM documents")
+def reads_block_documents(spark, d):
+    """As reads_block, of the long texts; null texts are empty reads."""
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    dense = O.dense_index(table(spark, d, "documents").select("doc_id", text("source"), text("text")), "doc_id", "read_id")
+    back = convert.decode_reads(convert.encode_reads(dense.select("read_id", F.col("source").alias("identifier"), F.col("text").alias("sequence"), F.lit("FF:").alias("quality"))))
+    return back.join(dense.select("read_id", "doc_id"), "read_id").select(F.col("doc_id").alias("read_id"), "identifier", "sequence")
+
+
 @query(r"SELECT page_id, CASE WHEN ends_with(p, '/') THEN p ELSE p || '/' END AS folder FROM (SELECT page_id, replace(replace(url, '/', '\\'), '\\', '/') AS p FROM pages)")
 def path_normalize(spark, d):
     back = F.translate(F.translate("url", "/", "\\"), "\\", "/")

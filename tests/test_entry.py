@@ -35,3 +35,10 @@ def test_query_equals_sql(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_text_codecs_meet_documents(spark):
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    for name in ("zstd_roundtrip", "base64_encode", "base64_decode", "pack2bit_codes", "pack2bit_bytes_roundtrip", "reads_block"):
+        assert entry.queries()[f"{name}_documents"](spark, SF).count() == n
+    assert {"n_positions_documents", "read_batches_documents", "batch_concat_documents"} <= entry.oracle_sql().keys()
