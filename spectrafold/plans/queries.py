@@ -487,6 +487,19 @@ def xml_attr_extract(spark, d):
     return table(spark, d, "pages").select("page_id", tag.alias("tag"), C.attribute(tag, "href").alias("href"))
 
 
+_ATTRIBUTE = r'\b([a-zA-Z_:][-a-zA-Z0-9_:.]*)="([^"]*)"'
+_LINKS = r"(SELECT page_id, unnest(regexp_extract_all(html, '<a\b[^>]*>')) AS tag, unnest(range(0, len(regexp_extract_all(html, '<a\b[^>]*>')))) AS place FROM pages)"
+
+
+@query(f"SELECT page_id, place, tag, unnest(regexp_extract_all(tag, '{_ATTRIBUTE}', 1)) AS name, unnest(regexp_extract_all(tag, '{_ATTRIBUTE}', 2)) AS value FROM {_LINKS}")
+def xml_attrs_of_all_tags(spark, d):
+    """A row for each attribute of each link of a page; xml_attr_extract reads the first link only."""
+    tags = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<a\b[^>]*>"), F.lit(0))).alias("place", "tag"))
+    part = lambda k: F.regexp_extract_all("tag", F.lit(_ATTRIBUTE), F.lit(k))
+    each = tags.select("page_id", F.col("place").cast("long").alias("place"), "tag", F.explode(F.arrays_zip(part(1).alias("name"), part(2).alias("value"))).alias("p"))
+    return each.select("page_id", "place", "tag", "p.name", "p.value")
+
+
 @query("SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) GROUP BY ALL")
 def tag_scan(spark, d):
     tags = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))).alias("tag"))

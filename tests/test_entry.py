@@ -42,3 +42,9 @@ def test_text_codecs_meet_documents(spark):
     for name in ("zstd_roundtrip", "base64_encode", "base64_decode", "pack2bit_codes", "pack2bit_bytes_roundtrip", "reads_block"):
         assert entry.queries()[f"{name}_documents"](spark, SF).count() == n
     assert {"n_positions_documents", "read_batches_documents", "batch_concat_documents"} <= entry.oracle_sql().keys()
+
+
+def test_attributes_of_all_links(spark, db):
+    got = entry.queries()["xml_attrs_of_all_tags"](spark, SF)
+    tags = db.sql("SELECT sum(len(regexp_extract_all(html, '<a\\b[^>]*href=')))::BIGINT FROM pages").fetchall()[0][0]
+    assert got.filter("name = 'href'").count() == tags and got.filter("place > 0").count() > 0
