@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import time
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.codecs import base64_to_floats, floats_to_base64
-from .functions.columns import duration_text
+from .functions.columns import duration_text, mz_steps
 from .operators.peaks import gather
 from .plans import convert
 from .sources import container, fastq, imzml, tdf
@@ -31,8 +32,8 @@ def _register(spark: SparkSession) -> None:
 def convert_files(spark: SparkSession, input_files: str | list[str], output_dir: str, write_mode: str = "binary", precision: float = 0.001, skip_zero: bool = True) -> DataFrame:
     """Converts each file to ``<stem>.omg`` in ``output_dir``: input, output, status, message.
 
-    A missing or unsupported file raises ValueError before any work; a file that
-    fails while it is converted gets the status "failed" and the reason.
+    A missing or unsupported file, two inputs of one stem and a precision that isn't
+    positive raise ValueError before any work; a file that fails while it is converted gets the status "failed" and the reason.
     """
     _register(spark)
     files = [input_files] if isinstance(input_files, str) else list(input_files)
@@ -46,10 +47,14 @@ def convert_files(spark: SparkSession, input_files: str | list[str], output_dir:
         if not os.path.exists(container.mounted(f)):
             raise ValueError(f"no such file: {f}")
         kinds[f] = suffix
+    mz_steps(precision)
+    outputs = {f: os.path.join(output_dir, os.path.splitext(os.path.basename(f.rstrip("/")))[0] + ".omg") for f in kinds}
+    if same := [o for o, n in Counter(outputs.values()).items() if n > 1]:
+        raise ValueError(f"several inputs would be written to {same[0]}")
     os.makedirs(container.mounted(output_dir), exist_ok=True)
     rows = []
     for f, suffix in kinds.items():
-        out = os.path.join(output_dir, os.path.splitext(os.path.basename(f.rstrip("/")))[0] + ".omg")
+        out = outputs[f]
         try:
             _convert(spark, f, suffix, out, write_mode, precision, skip_zero)
             rows.append((f, out, "ok", None))
@@ -107,7 +112,7 @@ def _convert(spark: SparkSession, path: str, suffix: str, out: str, mode: str, p
         from .operators.ordered import dense_index
 
         kept = convert.filter_scans(made, skip_zero)
-        scans = dense_index(kept, "frame", "scan_index", ("isolation_mz",))
+        scans = dense_index(kept, "frame", "scan_index", ("isolation_mz", "window"))
     else:
         source = spark.read.parquet(path)
         scans = convert.filter_scans(source, skip_zero)
@@ -129,6 +134,11 @@ def parse_omg_file(spark: SparkSession, omg_file: str, read_mode: str = "disk")
     blocks = spark.read.format("omicsblocks").load(omg_file)
     if read_mode == "memory":
         blocks = blocks.persist()
+    return _decoded(spark, blocks, info)
+
+
+def _decoded(spark: SparkSession, blocks: DataFrame, info: dict) -> DataFrame:
+    """Entries of blocks by the header: reads; spectra, with the shared m/z axis of a continuous file; scans, with their mobility."""
     mode, precision = info["writeFormat"], float(info.get("precision", "0.001"))
     if info["omics"] == "Genomics":
         return convert.decode_reads(blocks, mode)
@@ -160,9 +170,7 @@ def get_entry(spark: SparkSession, omg_file: str, entry: int) -> DataFrame:
     """One entry; only its block is read."""
     _register(spark)
     info = container.file_header(omg_file)
-    block = spark.read.format("omicsblocks").load(omg_file).filter(F.col("block_id") == entry)
-    decode = {"Genomics": convert.decode_reads, "Metabolomics": lambda b, m: convert.decode_spectra(b, m, info.get("storage") == "continuous", float(info.get("precision", "0.001"))), "Proteomics": lambda b, m: _with_mobility(spark, convert.decode_scans(b, m, float(info.get("precision", "0.001"))), info)}[info["omics"]]
-    return decode(block, info["writeFormat"])
+    return _decoded(spark, spark.read.format("omicsblocks").load(omg_file).filter(F.col("block_id") == entry), info)
 
 
 def get_basic_info(omg_file: str) -> dict:

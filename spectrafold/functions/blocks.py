@@ -10,6 +10,7 @@ import struct
 import numpy as np
 
 from . import codecs as C
+from .columns import mz_steps
 
 # Fixed layouts of binary blocks, little-endian.
 SCAN = struct.Struct("<3f6I")
@@ -39,8 +40,27 @@ def _fields(block: bytes, mode: str) -> tuple[str, dict]:
 
 
 def _quantize(values: np.ndarray, factor: float) -> np.ndarray:
-    """Half away from zero; values are not negative."""
-    return np.floor(np.asarray(values, float) * factor + 0.5).astype(np.int64)
+    """Half away from zero; values are not negative.  What isn't a number has no code and is an error."""
+    x = np.asarray(values, float)
+    if not np.isfinite(x).all():
+        raise ValueError("a value isn't a finite number, which the block's integers can't hold")
+    return np.floor(x * factor + 0.5).astype(np.int64)
+
+
+def _root(values: np.ndarray) -> np.ndarray:
+    if (values < 0).any():
+        raise ValueError("an intensity is negative")
+    return np.sqrt(values)
+
+
+def _mz_code(mz: np.ndarray, precision: float) -> np.ndarray:
+    step, whole = mz_steps(precision)
+    return _quantize(mz if whole else np.asarray(mz, float) / step, step if whole else 1.0)
+
+
+def _mz_value(q: np.ndarray, precision: float) -> list:
+    step, whole = mz_steps(precision)
+    return (q / step if whole else q * step).tolist()
 
 
 def _checked(q: np.ndarray, word: int) -> np.ndarray:
@@ -55,8 +75,8 @@ def encode_scan(scan: dict, mode: str = "binary", precision: float = 0.001, mobi
     mob = scan.get("mobility_index")
     mob = np.asarray(mob, np.int64) if mobility and mob is not None and len(mob) else None
     order = np.lexsort((inten, mob if mob is not None else np.zeros(len(mz)), mz))
-    code_mz = C.zstd(C.ef_encode(_checked(_quantize(mz[order], round(1 / precision)), 32), 32))
-    code_int = C.zstd(C.ef_encode(np.cumsum(_quantize(np.sqrt(inten[order]), 1)), 64))
+    code_mz = C.zstd(C.ef_encode(_checked(_mz_code(mz[order], precision), 32), 32))
+    code_int = C.zstd(C.ef_encode(np.cumsum(_quantize(_root(inten[order]), 1)), 64))
     code_mob = C.zstd(C.ef_encode(_checked(np.cumsum(mob[order]), 32), 32)) if mob is not None else b""
     number = lambda k: -1.0 if scan.get(k) is None else float(scan[k])
     whole = lambda k: int(scan.get(k) or 0)
@@ -80,7 +100,7 @@ def decode_scan(block: bytes, mode: str = "binary", precision: float = 0.001) ->
     d = C.delta(C.ef_decode(C.unzstd(codes[1]), 64))
     mob = C.delta(C.ef_decode(C.unzstd(codes[2]), 32)).tolist() if codes[2] else []
     absent = lambda v: None if v == -1.0 else v
-    return {"scan_index": index, "rt": rt, "ms_level": level, "charge": charge or None, "precursor_mz": absent(precursor), "collision_energy": absent(energy), "mz": (q / round(1 / precision)).tolist(), "intensity": (d.astype(float) ** 2).tolist(), "mobility_index": mob}
+    return {"scan_index": index, "rt": rt, "ms_level": level, "charge": charge or None, "precursor_mz": absent(precursor), "collision_energy": absent(energy), "mz": _mz_value(q, precision), "intensity": (d.astype(float) ** 2).tolist(), "mobility_index": mob}
 
 
 def encode_spectrum(s: dict, mode: str = "binary", continuous: bool = False, precision: float = 0.001) -> bytes:
@@ -90,7 +110,7 @@ def encode_spectrum(s: dict, mode: str = "binary", continuous: bool = False, pre
     rest = np.maximum(inten - floor, 0)
     values = _quantize(np.sqrt(rest * 1e4), 1) if continuous else _quantize(rest, 1e5)
     code_int = C.zstd(C.ef_encode(np.cumsum(values), 64))
-    code_mz = b"" if continuous else C.zstd(C.ef_encode(_checked(_quantize(s["mz"], round(1 / precision)), 32), 32))
+    code_mz = b"" if continuous else C.zstd(C.ef_encode(_checked(_mz_code(s["mz"], precision), 32), 32))
     place = [float("nan") if s.get(k) is None else float(s[k]) for k in ("pos_x", "pos_y", "pos_3dx", "pos_3dy", "pos_3dz")]
     if mode == "binary":
         return SPECTRUM.pack(*place, floor, int(s["spectrum_id"]), len(code_int), len(code_mz)) + code_int + code_mz
@@ -110,7 +130,7 @@ def decode_spectrum(block: bytes, mode: str = "binary", continuous: bool = False
         code_int, code_mz = base64.b64decode(f["intensity"]), base64.b64decode(f["mz"])
     d = C.delta(C.ef_decode(C.unzstd(code_int), 64)).astype(float)
     inten = d**2 * 1e-4 + floor if continuous else d * 1e-5 + floor
-    mz = (C.ef_decode(C.unzstd(code_mz), 32) / round(1 / precision)).tolist() if code_mz else []
+    mz = _mz_value(C.ef_decode(C.unzstd(code_mz), 32), precision) if code_mz else []
     out = dict(zip(("pos_x", "pos_y", "pos_3dx", "pos_3dy", "pos_3dz"), [None if v != v else v for v in place]))
     return out | {"spectrum_id": index, "intensity": inten.tolist(), "mz": mz}
 

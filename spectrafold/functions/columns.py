@@ -10,13 +10,23 @@ MIN_PEAKS = 10
 READS_PER_BATCH = 512
 
 
+def mz_steps(precision: float) -> tuple[float, bool]:
+    """The one rule of m/z steps: a factor to multiply by where 1 / precision is whole, else the precision to divide by."""
+    if not 0 < precision < float("inf"):
+        raise ValueError(f"the precision must be a positive number, not {precision}")
+    factor = round(1 / precision)
+    return (float(factor), True) if factor and abs(factor * precision - 1) < 1e-12 else (float(precision), False)
+
+
 def mz_quantize(mz: Column, precision: float = 0.001) -> Column:
     """m/z as a whole number of precision steps, half away from zero."""
-    return F.round(mz / F.lit(precision) if 1 / precision != round(1 / precision) else mz * F.lit(float(round(1 / precision)))).cast("long")
+    step, whole = mz_steps(precision)
+    return F.round(mz * F.lit(step) if whole else mz / F.lit(step)).cast("long")
 
 
 def mz_dequantize(q: Column, precision: float = 0.001) -> Column:
-    return q * F.lit(precision) if 1 / precision != round(1 / precision) else q / F.lit(float(round(1 / precision)))
+    step, whole = mz_steps(precision)
+    return q / F.lit(step) if whole else q * F.lit(step)
 
 
 def sqrt_quantize(intensity: Column) -> Column:

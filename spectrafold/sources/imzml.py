@@ -24,16 +24,23 @@ _SPECTRUM = "_id string, _index long, cvParam array<struct<_accession string, _v
 SPECTRA = "file string, spectrum_id long, pos_x float, pos_y float, pos_3dx float, pos_3dy float, pos_3dz float, array_length long, mz array<double>, intensity array<double>"
 
 
-def _head(spark: SparkSession, path: str, limit: int = 1 << 22) -> str:
-    """The text before the first spectrum, by Spark's file systems."""
+def _head(spark: SparkSession, path: str, step: int = 1 << 20) -> str:
+    """The text before the first spectrum, however long, by Spark's file systems."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    data, found = bytearray(), None
     try:
-        text = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, limit))).decode("utf-8", "replace")
+        while not found:
+            more = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, step)))
+            from_ = max(0, len(data) - 16)
+            data += more
+            found = re.compile(rb"<spectrum\s").search(data, from_)
+            if len(more) < step:
+                break
     finally:
         stream.close()
-    return re.split(r"<spectrum\s", text, maxsplit=1)[0]
+    return bytes(data[: found.start()] if found else data).decode("utf-8", "replace")
 
 
 def header(spark: SparkSession, path: str) -> dict:

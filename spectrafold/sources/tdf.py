@@ -11,13 +11,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.peaks import axes_agree
 
-# Fixed table layouts.
+# Fixed table layouts; Row is the number of a window's row in its table.
 TABLES = {
     "GlobalMetadata": "Key string, Value string",
     "Frames": "Id long, NumScans long, Time double, MsMsType long",
-    "FrameMsMsInfo": "Frame long, TriggerMass double, IsolationWidth double, CollisionEnergy double",
-    "PasefFrameMsMsInfo": "Frame long, IsolationMz double, IsolationWidth double, ScanNumBegin long, ScanNumEnd long, CollisionEnergy double",
-    "DiaFrameMsMsWindows": "WindowGroup long, IsolationMz double, IsolationWidth double, ScanNumBegin long, ScanNumEnd long, CollisionEnergy double",
+    "FrameMsMsInfo": "Row long, Frame long, TriggerMass double, IsolationWidth double, CollisionEnergy double",
+    "PasefFrameMsMsInfo": "Row long, Frame long, IsolationMz double, IsolationWidth double, ScanNumBegin long, ScanNumEnd long, CollisionEnergy double",
+    "DiaFrameMsMsWindows": "Row long, WindowGroup long, IsolationMz double, IsolationWidth double, ScanNumBegin long, ScanNumEnd long, CollisionEnergy double",
     "DiaFrameMsMsInfo": "Frame long, WindowGroup long",
 }
 
@@ -45,7 +45,7 @@ class TdfReader(DataSourceReader):
         return [_Rows(k, k + step) for k in range(1, high + 1, step)] or [_Rows(1, 1)]
 
     def read(self, part):
-        columns = ", ".join(c.split()[0] for c in TABLES[self.table].split(", "))
+        columns = ", ".join("rowid" if c == "Row long" else c.split()[0] for c in TABLES[self.table].split(", "))
         with self._open() as db:
             yield from db.execute(f"SELECT {columns} FROM {self.table} WHERE rowid >= ? AND rowid < ?", (part.low, part.high))
 
@@ -76,24 +76,24 @@ def file_info(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def windows(tables: dict[str, DataFrame]) -> DataFrame:
-    """Isolation windows of MS2 frames of all kinds: frame, isolation_mz, isolation_width, scan_begin, scan_end, collision_energy.
+    """Isolation windows of MS2 frames of all kinds: frame, window (number of its row), isolation_mz, isolation_width, scan_begin, scan_end, collision_energy.
 
     Type 2 frames have whole-frame windows (open scan ranges), types 8 and 9 name
     their ranges; each kind joins its own table.
     """
     wide = "IsolationMz isolation_mz, IsolationWidth isolation_width, ScanNumBegin scan_begin, ScanNumEnd scan_end, CollisionEnergy collision_energy"
     cols = [F.col(a).alias(b) for a, b in (c.split() for c in wide.split(", "))]
-    pasef = tables["PasefFrameMsMsInfo"].select(F.col("Frame").alias("frame"), F.lit(8).alias("kind"), *cols)
-    dia = tables["DiaFrameMsMsWindows"].join(tables["DiaFrameMsMsInfo"], "WindowGroup").select(F.col("Frame").alias("frame"), F.lit(9).alias("kind"), *cols)
-    plain = tables["FrameMsMsInfo"].select(F.col("Frame").alias("frame"), F.lit(2).alias("kind"), F.col("TriggerMass").alias("isolation_mz"), F.col("IsolationWidth").alias("isolation_width"), F.lit(None).cast("long").alias("scan_begin"), F.lit(None).cast("long").alias("scan_end"), F.col("CollisionEnergy").alias("collision_energy"))
+    pasef = tables["PasefFrameMsMsInfo"].select(F.col("Frame").alias("frame"), F.lit(8).alias("kind"), F.col("Row").alias("window"), *cols)
+    dia = tables["DiaFrameMsMsWindows"].join(tables["DiaFrameMsMsInfo"], "WindowGroup").select(F.col("Frame").alias("frame"), F.lit(9).alias("kind"), F.col("Row").alias("window"), *cols)
+    plain = tables["FrameMsMsInfo"].select(F.col("Frame").alias("frame"), F.lit(2).alias("kind"), F.col("Row").alias("window"), F.col("TriggerMass").alias("isolation_mz"), F.col("IsolationWidth").alias("isolation_width"), F.lit(None).cast("long").alias("scan_begin"), F.lit(None).cast("long").alias("scan_end"), F.col("CollisionEnergy").alias("collision_energy"))
     return plain.unionByName(pasef).unionByName(dia)
 
 
 def scans(tables: dict[str, DataFrame], peaks: DataFrame) -> DataFrame:
-    """Scans (frame, isolation_mz, rt, ms_level, precursor_mz, collision_energy, mz, intensity, mobility_index) from frames and peaks (frame, scan_no, mz, intensity).
+    """Scans (frame, window, isolation_mz, rt, ms_level, precursor_mz, collision_energy, mz, intensity, mobility_index) from frames and peaks (frame, scan_no, mz, intensity).
 
     A frame of type 0 is one MS1 scan; an MS2 frame makes a scan for each of its
-    windows, of the peaks whose scan number lies in the window, ends included (an
+    windows, equal ones included, of the peaks whose scan number lies in the window, ends included (an
     end equal to the frame's scan count means its last scan).  Frames before the
     first MS1 frame, windows without peaks and frames without windows make none.
     An unknown type is an error.
@@ -103,17 +103,17 @@ def scans(tables: dict[str, DataFrame], peaks: DataFrame) -> DataFrame:
     frames = frames.select(F.col("Id").alias("f"), "NumScans", F.col("Time").alias("rt"), known.alias("type"))
     first = frames.filter("type = 0").agg(F.min("f").alias("first_ms1"))
     frames = frames.join(F.broadcast(first), F.col("f") >= F.col("first_ms1"))  # one row
-    ms1 = frames.filter("type = 0").join(peaks, F.col("f") == F.col("frame")).withColumns({"isolation_mz": F.lit(-1.0), "collision_energy": F.lit(None).cast("double")})
+    ms1 = frames.filter("type = 0").join(peaks, F.col("f") == F.col("frame")).withColumns({"window": F.lit(0).cast("long"), "isolation_mz": F.lit(-1.0), "collision_energy": F.lit(None).cast("double")})
     named = windows(tables).withColumnRenamed("frame", "w")
     cut = frames.filter("type <> 0").join(named, (F.col("f") == F.col("w")) & (F.col("type") == F.col("kind")))
     end = F.when(F.col("scan_end") == F.col("NumScans"), F.col("NumScans") - 1).otherwise(F.col("scan_end"))
     inside = F.col("scan_begin").isNull() | F.col("scan_no").between(F.col("scan_begin"), end)
     ms2 = cut.join(peaks, (F.col("f") == F.col("frame")) & inside)
-    columns = ["frame", "isolation_mz", "rt", "type", "collision_energy", "scan_no", "mz", "intensity"]
+    columns = ["frame", "window", "isolation_mz", "rt", "type", "collision_energy", "scan_no", "mz", "intensity"]
     each = ms1.select(columns).unionByName(ms2.select(columns))
-    packed = each.groupBy("frame", "isolation_mz", "rt", "type", "collision_energy").agg(F.array_sort(F.collect_list(F.struct("mz", "scan_no", "intensity"))).alias("p"))
+    packed = each.groupBy("frame", "window", "isolation_mz", "rt", "type", "collision_energy").agg(F.array_sort(F.collect_list(F.struct("mz", "scan_no", "intensity"))).alias("p"))
     level = F.when(F.col("type") == 0, 1).otherwise(2)
-    return packed.select("frame", "isolation_mz", F.col("rt").cast("float").alias("rt"), level.alias("ms_level"), F.when(level == 2, F.col("isolation_mz")).cast("float").alias("precursor_mz"), F.col("collision_energy").cast("float").alias("collision_energy"), F.transform("p", lambda x: x["mz"]).alias("mz"), F.transform("p", lambda x: x["intensity"]).alias("intensity"), F.transform("p", lambda x: x["scan_no"]).alias("mobility_index"))
+    return packed.select("frame", "window", "isolation_mz", F.col("rt").cast("float").alias("rt"), level.alias("ms_level"), F.when(level == 2, F.col("isolation_mz")).cast("float").alias("precursor_mz"), F.col("collision_energy").cast("float").alias("collision_energy"), F.transform("p", lambda x: x["mz"]).alias("mz"), F.transform("p", lambda x: x["intensity"]).alias("intensity"), F.transform("p", lambda x: x["scan_no"]).alias("mobility_index"))
 
 
 def mobility_axis(axis: DataFrame, peaks: DataFrame) -> list[float]:

@@ -165,7 +165,7 @@ def write_tdf(folder, frames, plain=(), pasef=(), windows=(), info=(), peaks=())
     db = sqlite3.connect(folder / "analysis.tdf")
     rows = {"GlobalMetadata": [("SchemaType", "TDF"), ("Other", "x"), ("InstrumentName", "timsTOF")], "Frames": frames, "FrameMsMsInfo": plain, "PasefFrameMsMsInfo": pasef, "DiaFrameMsMsWindows": windows, "DiaFrameMsMsInfo": info}
     for table, schema in tdf.TABLES.items():
-        names = [c.split()[0] for c in schema.split(", ")]
+        names = [c.split()[0] for c in schema.split(", ") if c != "Row long"]
         db.execute(f"CREATE TABLE {table} ({', '.join(names)})")
         db.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(names))})", rows[table])
     db.commit()
@@ -192,6 +192,16 @@ def test_tdf_scans(spark, tmp_path):
     assert back[0]["mobility_index"][:2] == [0, 0] or len(back[0]["mobility_index"]) == 40
 
 
+def test_tdf_windows_stay_apart(spark, tmp_path):
+    """Windows of equal m/z and energy, and equal windows, are scans of their own."""
+    pasef = [(2, 500.0, 1.0, 0, 3, 20.0), (2, 500.0, 1.0, 5, 8, 20.0), (2, 500.0, 1.0, 5, 8, 20.0)]
+    write_tdf(tmp_path / "run.d", [(1, 10, 0.5, 0), (2, 10, 1.0, 8)], pasef=pasef)
+    tables = tdf.read_tables(spark, f"{tmp_path}/run.d/analysis.tdf")
+    peaks = spark.createDataFrame([(2, s, 100.0 + s, 5.0) for s in range(10)], "frame long, scan_no long, mz double, intensity double")
+    got = {r["window"]: r["mobility_index"] for r in tdf.scans(tables, peaks).collect()}
+    assert got == {1: [0, 1, 2, 3], 2: [5, 6, 7, 8], 3: [5, 6, 7, 8]}
+
+
 def test_tdf_unknown_type(spark, tmp_path):
     write_tdf(tmp_path / "bad.d", [(1, 2, 0.1, 0), (2, 2, 0.2, 5)])
     tables = tdf.read_tables(spark, f"{tmp_path}/bad.d/analysis.tdf")
@@ -250,3 +260,41 @@ def test_headers_without_axis(spark, tmp_path):
     info = api.get_basic_info(image)
     assert (info["scanCount"], info["maxCountofPixel_X"], info["pixelSize_X"], info["pixelSize_Y"], info["maxDimension_X"]) == ("2", "3", "50 micrometer", "", "")
     assert (info["msModel"], info["msIonisation"], info["msMassAnalyzer"], info["msDetector"]) == ("model", "MALDI", "TOF", "MCP") and info["continuousMzCode"] == [float(k) for k in range(100, 112)]
+
+
+def test_values_without_a_code(spark, tmp_path):
+    """A kept NaN has no code in whole numbers: the file fails, and nothing false is written."""
+    rows = [(k, float(k), 1, None, None, None, [100.0 + j for j in range(12)], [float("nan") if k == 3 and j == 5 else 4.0 for j in range(12)]) for k in range(5)]
+    spark.createDataFrame(rows, make_scans(spark).schema).write.parquet(f"{tmp_path}/nan.parquet")
+    done = api.convert_files(spark, f"{tmp_path}/nan.parquet", f"{tmp_path}/o").head()
+    assert done["status"] == "failed" and "finite" in done["message"]
+
+
+@pytest.mark.parametrize("precision", [0.003, 0.5, 2.0])
+def test_any_precision(spark, tmp_path, precision):
+    make_scans(spark).write.parquet(f"{tmp_path}/run.parquet")
+    out = api.convert_files(spark, f"{tmp_path}/run.parquet", f"{tmp_path}/o", precision=precision).head()
+    want = {r["scan_index"]: r["mz"] for r in convert.filter_scans(make_scans(spark)).collect()}
+    for r in api.parse_omg_file(spark, out["output"]).collect():
+        assert np.abs(np.array(r["mz"]) - want[r["scan_index"]]).max() <= precision * 0.5000001
+
+
+def test_inputs_that_clash(spark, tmp_path):
+    write_reads(tmp_path / "x.fastq", 2)
+    make_scans(spark).write.parquet(f"{tmp_path}/x.parquet")
+    with pytest.raises(ValueError, match="several inputs"):
+        api.convert_files(spark, [f"{tmp_path}/x.fastq", f"{tmp_path}/x.parquet"], f"{tmp_path}/o")
+    for bad in (0, -1, float("nan")):
+        with pytest.raises(ValueError, match="precision"):
+            api.convert_files(spark, f"{tmp_path}/x.parquet", f"{tmp_path}/o", precision=bad)
+
+
+def test_long_imaging_header_and_one_entry(spark, tmp_path):
+    want = write_imzml(tmp_path, "continuous", "f32", False, [(1, 1, None), (1, 2, None)])
+    text = (tmp_path / "img.imzML").read_text()
+    (tmp_path / "img.imzML").write_text(text.replace("<fileDescription>", "<!--" + "x" * (5 << 20) + "--><fileDescription>", 1))
+    info = imzml.header(spark, f"{tmp_path}/img.imzML")
+    assert (info["storage"], info["spectrumCount"], info["msModel"]) == ("continuous", 2, "model")
+    out = api.convert_files(spark, f"{tmp_path}/img.imzML", f"{tmp_path}/o").head()["output"]
+    one = api.get_entry(spark, out, 1).collect()
+    assert len(one) == 1 and one[0]["mz"] == want[1][4] and len(one[0]["intensity"]) == 12
