@@ -1,27 +1,18 @@
-"""Shared folders and small helpers of the operators."""
+"""Small helpers of the operators."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace  # noqa: F401
+
 #: Separators of words, as a Java class: blank, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spectrafold.shared.dir", "")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spectrafold-")
-        spark.conf.set("spectrafold.shared.dir", base)
-    return base.rstrip("/")
-
-
 #: Arrow batches of Python stages: rows, and bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -35,27 +26,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
-class Workspace:
-    """Written tables of one operator call: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str = "") -> None:
-        path = self.path(name) if name else self.root
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
