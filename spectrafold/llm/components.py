@@ -16,12 +16,12 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).collect()[0])
 
 
-#: Edge tables of at most so many rows are solved in one task (16 bytes an edge).
-SMALL = 200_000
+#: Edges that one task contracts: 16 bytes each.
+CHUNK = 200_000
 
 
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over all edges of the partition; (u, v) as :func:`components` gives them."""
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over the partition's edges: every node but the least of its part, with that least node."""
     leader: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -44,20 +44,19 @@ def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(u, v) for every node u of ``edges`` (columns a, b) that isn't its component's smallest node v.
 
-    A table of at most SMALL edges is one task's work.  A larger one
-    alternates large-star and small-star steps until nothing changes, about log²
-    of the longest path.  Every step's edges are a written table; minima are
+    Null ends don't count; an empty table gives an empty one.  The edges are dealt
+    to tasks of about CHUNK, each of which contracts its own; then large-star and
+    small-star steps alternate until nothing changes, about log² of the longest path
+    that contraction leaves.  Every step's edges are a written table; minima are
     combined before the shuffle, and adaptive execution splits a hub's side of the
     joins.  Only a count and a checksum reach the driver.
     """
-    now = work.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
-    if now.count() <= SMALL:
-        return work.save(now.coalesce(1).mapInPandas(_solve, "u long, v long"), f"{name}-solved")
-    step, mark = 0, None
-    while (new := _mark(now)) != mark:
+    raw = work.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v and a is not null and b is not null").distinct(), f"{name}-raw")
+    tasks = -(-raw.count() // CHUNK) or 1
+    now, step = work.save(raw.repartition(tasks, "v").mapInPandas(_contract, "u long, v long").distinct(), f"{name}-0"), 0
+    mark = None
+    while (new := _mark(now)) != mark and new[0] and (step or tasks > 1):
         mark, step = new, step + 1
-        if not mark[0]:
-            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("x")).agg(F.least(F.col("x"), F.min("v")).alias("m"))
         large = both.join(least, F.col("u") == F.col("x")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")

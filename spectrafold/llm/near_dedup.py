@@ -1,17 +1,20 @@
 """MinHash near-deduplication with an LSH forest.
 
-Every distinct shingle set gets MinHash values for TREES trees.  A tree orders the
-sets by its values; sets that share the first DEPTH values are a region of the tree,
-and within a region the order by the following values puts those with the longest
-common prefixes side by side.  The depth of regions is fixed, whatever their size: a
-large region isn't split at deeper prefixes.  Candidates come from regions in two
-rounds: first each set is paired with the neighbours of its longest common
-prefixes, and the pairs that hold on full sets are linked; regions whose sets
-then lie in one component are done, and only regions that still hold several
-are searched at their full width, across components.
+Every distinct shingle set gets a ring of TREES * STEP MinHash values.  Tree t of the
+forest sorts all sets by the values from place t * STEP on, DEEP of them, so sets
+with long common prefixes are neighbours.  Depth adapts by region: a set's candidate
+in a tree is the neighbour of its longest common prefix, whatever depth that has,
+LEAST values at least.  The closest candidate over all trees is confirmed on full
+sets, and links make components.
+
+Regions (stretches of a tree that share LEAST values) whose sets lie in one component
+are done.  The sets of the others go to an exact join: a set's shingles are ordered
+from rare to common, and two sets at or above the bound share a shingle among the
+first few of both.  What passes is confirmed on full sets.  So no region is searched
+pair by pair, and none is capped.
 
 A pair at the least similarity s shares a region with probability
-1 - (1 - s**DEPTH)**TREES: 0.99999 at 0.85 and at 0.8 (16 and 22 trees).
+1 - (1 - s**LEAST)**TREES: 0.99999 at 0.85 and at 0.8 (16 and 22 trees).
 """
 
 from __future__ import annotations
@@ -26,28 +29,38 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, bounded_batches, id_columns, partitions
 from .components import components
-from .shingles import MinHash, mix64, shingle_set, similar
+from .shingles import MinHash, shingle_set, similar
 
-DEPTH, DEEP = 4, 8
-#: Up to so many ids are broadcast to pick the texts to compare (24 bytes each); more are joined.
-BROADCAST_IDS = 1_000_000
-#: Sets of a block of the second round; sets of a region beyond which it isn't searched pair by pair.
-BLOCK, WIDE = 1000, 2000
-_REGION = "key long, tail long, rep long, n int, sketch binary"
-_PAIR = "a long, b long, likeness int"
+#: Values that a region shares; values from one tree's start to the next; values of a tree's order.
+LEAST, STEP, DEEP = 4, 8, 16
+#: Counters of shingle frequencies, a fixed size whatever the input.
+CELLS = 1 << 20
+#: Rows that one task of the exact join holds of a shingle's list, on each side.
+BLOCK = 2000
+_HEAD = 1 + 2 * LEAST  # bytes of a region's name
 
 
 def trees_for(percent: int) -> int:
     """Trees enough that a pair at the bound is missed with a probability of about 1e-5."""
-    return int(np.ceil(np.log(1e-5) / np.log(1 - (percent / 100) ** DEPTH)))
+    return int(np.ceil(np.log(1e-5) / np.log(1 - (percent / 100) ** LEAST)))
 
 
-def _sketches(docs: DataFrame, width: int, trees: int) -> DataFrame:
-    """doc_id, n, digest of the set, per tree the keys (region, tail), and one bit of each MinHash value."""
+def words_of_values(v: np.ndarray) -> np.ndarray:
+    """A hash of each whole MinHash value: those of large sets are small numbers, which agree in their leading bits."""
+    word = (v ^ (v >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    word = (word ^ (word >> np.uint32(12))) * np.uint32(0x297A2D39)
+    return word ^ (word >> np.uint32(15))
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _signatures(docs: DataFrame, width: int, trees: int) -> DataFrame:
+    """doc_id, n, digest of the set, its ring of values (two bytes each), and one further bit of each value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        minhash = MinHash(trees * DEEP)
-        salt = np.arange(trees, dtype=np.uint64)
+        minhash = MinHash(trees * STEP)
         for b in batches:
             rows = []
             for text in b["text"]:
@@ -56,66 +69,25 @@ def _sketches(docs: DataFrame, width: int, trees: int) -> DataFrame:
                     rows.append((0, None, None, None))
                     continue
                 v = minhash.of(s)
-                grid = v.reshape(trees, DEEP).astype(np.uint64)
-                key = salt
-                for k in range(DEPTH):
-                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, k])
-                tail = np.zeros(trees, np.uint64)
-                for k in range(DEPTH, DEEP):
-                    tail = (tail << np.uint64(15)) | (grid[:, k] >> np.uint64(17))
-                bits = np.packbits(((v >> np.uint32(11)) & np.uint32(1)).astype(np.uint8))
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.stack([key, tail], 1).tobytes(), bits.tobytes()))
-            out = pd.DataFrame(rows, columns=["n", "digest", "keys", "sketch"])
+                word = words_of_values(v)
+                ring = np.r_[word, word[: DEEP - STEP]] >> np.uint32(16)
+                bits = np.packbits((word & np.uint32(1)).astype(np.uint8))
+                rows.append((len(s), _digest(s), ring.astype(">u2").tobytes(), bits.tobytes()))
+            out = pd.DataFrame(rows, columns=["n", "digest", "ring", "sketch"])
             out.insert(0, "doc_id", pd.arrays.IntegerArray(b["doc_id"].to_numpy(), b["no_id"].to_numpy(bool)))
             yield out
 
-    return docs.mapInPandas(run, "doc_id long, n int, digest binary, keys binary, sketch binary")
+    return docs.mapInPandas(run, "doc_id long, n int, digest binary, ring binary, sketch binary")
 
 
-def _regions(reps: DataFrame) -> DataFrame:
-    """A row for each set and tree."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo in range(0, len(b), 2000):
-                part = b.iloc[lo : lo + 2000]
-                if not len(part):
-                    continue
-                keys = np.frombuffer(b"".join(part["keys"]), np.int64).reshape(len(part), -1, 2)
-                trees = keys.shape[1]
-                yield pd.DataFrame({"key": keys[:, :, 0].ravel(), "tail": keys[:, :, 1].ravel(), "rep": part["rep"].to_numpy().repeat(trees), "n": part["n"].to_numpy().repeat(trees), "sketch": part["sketch"].to_numpy().repeat(trees)})
-
-    return reps.mapInPandas(run, _REGION)
-
-
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches of rows sorted by key, such that no key continues in the next batch; keys of one row are left out."""
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        if not len(b):
-            continue
-        key = b["key"].to_numpy()
-        last = int(np.searchsorted(key, key[-1], side="left"))
-        if last == 0:
-            if held and held[-1]["key"].iloc[-1] != key[0]:
-                yield from _several(pd.concat(held))
-                held = []
-            held.append(b)
-            continue
-        yield from _several(pd.concat([*held, b.iloc[:last]]))
-        held = [b.iloc[last:]]
-    if held:
-        yield from _several(pd.concat(held))
-
-
-def _several(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    key = rows["key"].to_numpy()
-    same = key[1:] == key[:-1]
-    keep = np.zeros(len(key), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    if keep.any():
-        yield rows[keep].reset_index(drop=True)
+def _orders(reps: DataFrame, trees: int) -> DataFrame:
+    """A row for each set and tree, sorted: the tree's number and its values as bytes."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    rows = reps.select("rep", "n", "ring", "sketch", tree)
+    prefix = F.substring("ring", F.col("tree") * (2 * STEP) + 1, F.lit(2 * DEEP))
+    name = F.unhex(F.lpad(F.hex("tree"), 2, "0"))
+    rows = rows.select(F.concat(name, prefix).alias("prefix"), "rep", "n", "sketch")
+    return rows.repartitionByRange(partitions(reps.sparkSession), "prefix", "rep").sortWithinPartitions("prefix", "rep")
 
 
 def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -128,138 +100,57 @@ def _limit(percent: int, bits: int) -> int:
     return int(bits * p + 5 * np.sqrt(bits * p * (1 - p))) + 1
 
 
-def _neighbours(regions: DataFrame, percent: int, bits: int) -> DataFrame:
-    """First round: every set with its region's first set and with the one before it in the tree's order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limit = _limit(percent, bits)
-        for rows in _runs(batches):
-            key, rep, n = (rows[c].to_numpy() for c in ("key", "rep", "n"))
-            sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
-            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            head = np.repeat(begin, np.diff(np.r_[begin, len(key)]))
-            at = np.arange(len(key))
-            at, head = at[at != head], head[at != head]
-            for other in (head, at - 1):
-                diff = _differing(sketch[at], sketch[other])
-                ok = (diff <= limit) & (rep[at] != rep[other]) & (100 * np.minimum(n[at], n[other]).astype(np.int64) >= percent * np.maximum(n[at], n[other]).astype(np.int64))
-                x, y = rep[at[ok]], rep[other[ok]]
-                yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y), "likeness": (bits - diff[ok]).astype(np.int32)})
-
-    return regions.mapInPandas(run, _PAIR)
-
-
-def _undecided(regions: DataFrame, percent: int, bits: int) -> DataFrame:
-    """Second round: sets of regions with several components (column root) whose sketches leave a link across components open.
+def _neighbours(orders: DataFrame, percent: int, bits: int) -> DataFrame:
+    """Sets that share a region, each with the set before it in the order: region, rep, other, likeness (null where sketches or sizes rule a link out).
 
-    Each is tied to the first such set of its region (a star, not the pairs).  Very
-    large regions aren't searched for such pairs; all their sets are undecided.
+    A task sees one stretch of the order.  Rows at its ends always pass, as their
+    regions may go on beyond.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         limit = _limit(percent, bits)
-        for rows in _runs(batches):
-            key, rep, n, root = (rows[c].to_numpy() for c in ("key", "rep", "n", "root"))
+        held, out, shared, no_link, link = None, None, True, True, (0, 0)
+        for b in batches:
+            if not len(b):
+                continue
+            rows = b if held is None else pd.concat([held, b], ignore_index=True)
+            prefix = np.frombuffer(b"".join(rows["prefix"]), np.uint8).reshape(len(rows), -1)
             sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
-            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            end = np.r_[begin[1:], len(key)]
-            mixed = np.flatnonzero(np.maximum.reduceat(root, begin) != np.minimum.reduceat(root, begin))
-            found = []
-            for lo, hi in zip(begin[mixed], end[mixed]):
-                hit = np.ones(hi - lo, bool)
-                for at in range(lo, hi, 128) if hi - lo <= WIDE else ():
-                    part, all_ = slice(at, min(at + 128, hi)), slice(lo, hi)
-                    small, large = np.minimum(n[part, None], n[None, all_]), np.maximum(n[part, None], n[None, all_])
-                    ok = (root[part, None] != root[None, all_]) & (100 * small.astype(np.int64) >= percent * large.astype(np.int64))
-                    if ok.any():
-                        ok &= _differing(sketch[part, None], sketch[None, all_]) <= limit
-                    hit[at - lo : part.stop - lo] = ok.any(axis=1)
-                hit = lo + np.flatnonzero(hit)
-                if len(hit) > 1:
-                    found.append(np.stack([rep[hit[1:]], np.full(len(hit) - 1, rep[hit[0]])]))
-            if found:
-                x, y = np.concatenate(found, axis=1)
-                yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y), "likeness": np.zeros(len(x), np.int32)})
-
-    return regions.mapInPandas(run, _PAIR)
-
-
-def _block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links across components among the sets of one block, or between two blocks; one for each pair of components at most."""
-    first = rows["block"].to_numpy() == rows["low"].to_numpy()[0]
-    sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
-    rep, root = rows["id"].to_numpy(), rows["root"].to_numpy()
-    same = rows["low"].iloc[0] == rows["high"].iloc[0]
-    asked = np.flatnonzero(first)
-    held = asked if same else np.flatnonzero(~first)
-    if not len(held) or not len(asked):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    size = np.array([len(sets[k]) for k in held])
-    flat, owner = np.concatenate([sets[k] for k in held]), np.repeat(np.arange(len(held)), size)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    leader = {r: r for r in set(root.tolist())}
-
-    def find(x):
-        while leader[x] != x:
-            x = leader[x]
-        return x
-
-    # sets of the commonest component are only asked about, which spares most comparisons
-    values, counts = np.unique(root[asked], return_counts=True)
-    main = values[counts.argmax()]
-    queries = asked[root[asked] != main] if same else asked
-    out = []
-    for q in queries:
-        other = root[held] != root[q]
-        if not other.any():
-            continue
-        lo, hi = np.searchsorted(flat, sets[q], "left"), np.searchsorted(flat, sets[q], "right")
-        n = hi - lo
-        both = np.bincount(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(held))
-        for k in np.flatnonzero(other & (100 * both >= percent * (len(sets[q]) + size - both))):
-            x, y = find(int(root[q])), find(int(root[held[k]]))
-            if x != y:
-                leader[max(x, y)] = min(x, y)
-                out.append((max(rep[q], rep[held[k]]), min(rep[q], rep[held[k]])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-
-def _links_across(ties: DataFrame, roots: DataFrame, texts: DataFrame, work: Workspace, percent: int, width: int) -> DataFrame:
-    """The links that the second round finds, confirmed on full sets.
-
-    Undecided sets that hang together form a cluster.  A cluster is compared with
-    itself in blocks of BLOCK sets, every two blocks in a task of their own, so a
-    large cluster is many tasks of bounded size; no pair leaves its task unless it
-    links two components.
-    """
-    clusters = components(ties, work, "clusters")
-    ids = work.save(ties.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "undecided")
-    named = ids.join(clusters, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("cluster"))
-    sizes = named.groupBy(F.col("cluster").alias("c")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = named.join(sizes, F.col("cluster") == F.col("c")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).select("id", "cluster", "blocks", "block")
-    placed = placed.join(roots, F.col("id") == F.col("u"), "left").select("id", "cluster", "blocks", "block", F.coalesce("v", "id").alias("root"))
-    sets = _sets(texts, ties, work, "members-2", width).withColumnRenamed("id", "i")
-    full = sets.join(work.save(placed, "placed"), F.col("i") == F.col("id")).select("id", "cluster", "block", "root", "members", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    tasks = full.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
-    return tasks.groupBy("cluster", "low", "high").applyInPandas(lambda rows: _block_links(rows, percent), "a long, b long")
-
-
-def _sets(docs: DataFrame, pairs: DataFrame, work: Workspace, name: str, width: int) -> DataFrame:
-    """The full shingle sets of the documents in ``pairs``."""
-    ids = work.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
-    few = ids.count() <= BROADCAST_IDS
-    picked = docs.filter("not no_id").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id")).select("id", "text")
+            n, rep = rows["n"].to_numpy().astype(np.int64), rows["rep"].to_numpy()
+            same = (prefix[1:, :_HEAD] == prefix[:-1, :_HEAD]).all(axis=1)
+            diff = _differing(sketch[1:], sketch[:-1])
+            ok = same & (diff <= limit) & (100 * np.minimum(n[1:], n[:-1]) >= percent * np.maximum(n[1:], n[:-1]))
+            without = np.r_[no_link, ~ok]
+            out = pd.DataFrame({"region": [p[:_HEAD] for p in rows["prefix"]], "rep": rep})
+            out["other"] = pd.arrays.IntegerArray(np.r_[link[0], rep[:-1]].astype(np.int64), without)
+            out["likeness"] = pd.arrays.IntegerArray(np.r_[link[1], bits - diff].astype(np.int32), without.copy())
+            before = np.r_[shared, same]
+            yield out[:-1][(before[:-1] | same)]
+            held, shared, no_link = rows.iloc[-1:], bool(before[-1]), bool(without[-1])
+            link = (0, 0) if no_link else (int(out["other"].iloc[-1]), int(out["likeness"].iloc[-1]))
+        if out is not None:
+            yield out.iloc[-1:]
+
+    return orders.mapInPandas(run, "region binary, rep long, other long, likeness int")
+
+
+def _sets(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
+    """The full shingle sets (members) of the documents in ``known`` (id, digest, and other columns), beside its columns."""
+    picked = docs.filter("not no_id").join(known, F.col("doc_id") == F.col("id")).select("text", *known.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "members": [shingle_set(t, width).tobytes() for t in b["text"]]})
+            sets = [shingle_set(t, width) for t in b["text"]]
+            # an id may come with several texts
+            own = np.array([_digest(s) == d for s, d in zip(sets, b["digest"])], bool)
+            yield b.drop(columns="text").assign(members=[s.tobytes() for s in sets])[own]
 
-    return work.save(picked.mapInPandas(run, "id long, members binary"), name, "none")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.schema)
+    return picked.mapInPandas(run, f"{schema}, members binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that hold on full sets."""
+    """The pairs (a, b) that hold on full sets (id, members)."""
     left = sets.select(F.col("id").alias("ia"), F.col("members").alias("sa"))
     right = sets.select(F.col("id").alias("ib"), F.col("members").alias("sb"))
     both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "sa", "sb")
@@ -272,6 +163,129 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets hold the shingles of each of CELLS cells: a fixed number of counters, summed up by the executors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            total += np.bincount(np.frombuffer(b"".join(b["members"]), np.uint64) % np.uint64(CELLS), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at.astype(np.int32), "n": total[at]})
+
+    found = sets.select("members").mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = np.zeros(CELLS, np.int32)
+    cells[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), 0x7FFFFFFF)
+    return cells
+
+
+def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """The shingles by which a set is found: shingle, id, root, n, sketch, indexed.
+
+    In one order of all shingles, rare ones first, two sets at or above the bound
+    share a shingle that is among the first n - ceil(s n) + 1 of the larger set
+    and the first n - ceil(2 s n / (1 + s)) + 1 of the smaller one (``indexed``).
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))  # CELLS numbers
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = shared.value
+        for b in batches:
+            for lo in range(0, len(b), 200):
+                part, found = b.iloc[lo : lo + 200], []
+                for k, members in enumerate(part["members"]):
+                    s = np.frombuffer(members, np.uint64)
+                    n = len(s)
+                    ask, hold = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                    first = s[np.lexsort((s, cells[s % np.uint64(CELLS)]))[:ask]]
+                    found.append((first.view(np.int64), np.full(ask, k), np.arange(ask) < hold))
+                at = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+                if len(at):
+                    row = part.iloc[at]
+                    yield pd.DataFrame({"shingle": np.concatenate([f[0] for f in found]), "id": row["id"].to_numpy(), "root": row["root"].to_numpy(), "n": row["n"].to_numpy(), "sketch": row["sketch"].to_numpy(), "indexed": np.concatenate([f[2] for f in found])})
+
+    return sets.mapInPandas(run, "shingle long, id long, root long, n int, sketch binary, indexed boolean")
+
+
+def _list_pairs(rows: pd.DataFrame, limit: int, percent: int) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of different components that parts of shingles' lists leave open; rows are sorted by part, those asked before those held."""
+    bits = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+    n, ids, root, held = (rows[c].to_numpy() for c in ("n", "id", "root", "held"))
+    n = n.astype(np.int64)
+    begin = np.flatnonzero(_starts(rows))
+    asked = np.add.reduceat((~held).astype(np.int64), begin)
+    part = np.cumsum(_starts(rows)) - 1
+    at = np.flatnonzero(held & (asked[part] > 0))
+    upto = np.cumsum(asked[part[at]])
+    lo = 0
+    while lo < len(at):  # about a million comparisons at a time
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 20), "right")))
+        size, first = asked[part[at[lo:hi]]], begin[part[at[lo:hi]]]
+        x = np.repeat(at[lo:hi], size)
+        y = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        ok = ((n[x] < n[y]) | ((n[x] == n[y]) & (ids[x] < ids[y]))) & (root[x] != root[y]) & (100 * n[x] >= percent * n[y])
+        x, y = x[ok], y[ok]
+        close = _differing(bits[x], bits[y]) <= limit
+        if close.any():
+            pair = np.unique(np.stack([ids[x[close]], ids[y[close]]]), axis=1)
+            yield pd.DataFrame({"a": pair.max(axis=0), "b": pair.min(axis=0)})
+        lo = hi
+
+
+def _starts(rows: pd.DataFrame) -> np.ndarray:
+    """Whether a row is the first of its part."""
+    first = np.ones(len(rows), bool)
+    key, x, y = (rows[c].to_numpy() for c in ("key", "x", "y"))
+    first[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return first
+
+
+def _whole_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted batches, cut where a part ends."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        last = int(np.flatnonzero(_starts(b))[-1])
+        ends = held and _starts(pd.concat([held[-1].iloc[-1:], b.iloc[:1]]))[1]
+        if last or ends:
+            done = pd.concat([*held, b.iloc[:last]], ignore_index=True)
+            if len(done):
+                yield done
+            held = []
+        held.append(b.iloc[last:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _links_across(sets: DataFrame, work: Workspace, percent: int, bits: int) -> DataFrame:
+    """All links between components among ``sets`` (id, root, n, sketch, members), by an exact prefix join.
+
+    A list of one component, or without an indexed row, makes no pair.  Long lists
+    are dealt out in parts of about BLOCK rows on either side, a task for each two
+    parts; rows carry sketches, not sets.
+    """
+    rows = work.save(_rare_shingles(sets, percent), "rare")
+    lists = rows.groupBy(F.col("shingle").alias("key")).agg(F.count(F.lit(1)).alias("ask"), F.count_if("indexed").alias("hold"), F.min("root").alias("low"), F.max("root").alias("high"))
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    live = lists.filter("hold > 0 and low <> high").select("key", parts("ask").alias("asks"), parts("hold").alias("holds"))
+    rows = rows.join(work.save(live, "lists"), F.col("shingle") == F.col("key"))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = ["key", "id", "root", "n", "sketch"]
+    asked = rows.select(*columns, F.lit(False).alias("held"), own("asks").alias("x"), every("holds").alias("y"))
+    held = rows.filter("indexed").select(*columns, F.lit(True).alias("held"), every("asks").alias("x"), own("holds").alias("y"))
+    limit = _limit(percent, bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_parts(batches):
+            yield from _list_pairs(rows, limit, percent)
+
+    dealt = asked.unionByName(held).repartition(partitions(sets.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "held")
+    pairs = work.save(dealt.mapInPandas(run, "a long, b long").distinct(), "pairs-2")
+    return _confirmed(pairs, sets, percent)
+
+
 def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) for every row.
 
@@ -280,41 +294,40 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     texts without words, have no shingles and are linked with nothing.  Rows with a
     null id are linked with nothing, get a null component_id and are kept.
     Repeated rows get equal results; rows of one id with different texts are one
-    document with several texts.  An empty table gives an empty result.
+    document with several texts.  An empty table gives an empty result.  Other
+    columns of ``docs``, whatever their names, aren't read.
 
     Copies (equal sets) are merged on the map side before anything is compared, so
-    a large group of copies is one set.  A region is handled in one pass over its
-    sorted rows and emits a few pairs for each of its sets; sets that stay undecided
-    are compared in blocks.  All links are confirmed on full sets; nothing is capped.
+    a large group of copies is one set.  The trees' orders are dealt to tasks by
+    ranges, so a large region is many tasks' work; every set brings one candidate to
+    be confirmed.  All links are confirmed on full sets; nothing is capped.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     work = Workspace(spark, "near-dedup")
     trees = trees_for(percent)
-    bits = -(-trees * DEEP // 8) * 8
+    bits = trees * STEP
     texts = docs.select(*id_columns(id_col), F.col(text_col).cast("string").alias("text"))
-    rows = work.save(_sketches(texts, width, trees), "sketches")
+    rows = work.save(_signatures(texts, width, trees), "signatures")
     usable = rows.filter("n > 0 and doc_id is not null")
-    reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ring").alias("ring"), F.first("sketch").alias("sketch"))
     reps = work.save(reps, "sets")
-    regions = _regions(reps.select("rep", "n", "keys", "sketch")).repartition(partitions(spark), "key").sortWithinPartitions("key", "tail", "rep")
-
-    def only_shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _runs(batches)
-
-    regions = work.save(regions.mapInPandas(only_shared, _REGION), "regions")
-    ordered = lambda df: df.repartition(partitions(spark), "key").sortWithinPartitions("key", "tail", "rep")
-
-    near = _neighbours(ordered(regions), percent, bits)
-    # each set keeps its closest neighbour; what that leaves apart is for the second round
-    near = near.groupBy("a").agg(F.max(F.struct("likeness", (-F.col("b")).alias("o"))).alias("best")).select("a", (-F.col("best.o")).alias("b"))
-    near = work.save(near, "pairs-1")
-    links = work.save(_confirmed(near, _sets(texts, near, work, "members-1", width), percent), "links-1")
+    regions = work.save(_neighbours(_orders(reps, trees), percent, bits), "regions")
+
+    # of all trees each set keeps its closest neighbour; what that leaves apart is for the exact join
+    best = regions.filter("other is not null").groupBy("rep").agg(F.max(F.struct("likeness", "other"))["other"].alias("other"))
+    pairs = work.save(best.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).filter("a <> b").distinct(), "pairs-1")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = work.save(ids.join(reps, F.col("id") == F.col("rep")).select("id", "digest"), "ids-1")
+    links = work.save(_confirmed(pairs, work.save(_sets(texts, ids, width), "members-1", "none"), percent), "links-1")
     roots = components(links, work, "roots-1")
 
-    lab = ordered(regions.join(roots, F.col("rep") == F.col("u"), "left").select("key", "tail", "rep", "n", "sketch", F.coalesce("v", "rep").alias("root")))
-    ties = work.save(_undecided(lab, percent, bits).select("a", "b").distinct(), "ties")
-    links = work.save(links.unionByName(_links_across(ties, roots, texts, work, percent, width)), "links-2")
+    placed = regions.join(roots, F.col("rep") == F.col("u"), "left").select("region", "rep", F.coalesce("v", "rep").alias("root"))
+    mixed = placed.groupBy(F.col("region").alias("r")).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("r")
+    open_ = placed.join(mixed, F.col("region") == F.col("r"), "left_semi").select(F.col("rep").alias("id"), "root").distinct()
+    open_ = work.save(open_.join(reps, F.col("id") == F.col("rep")).select("id", "root", "n", "sketch", "digest"), "open")
+    full = work.save(_sets(texts, open_, width), "members-2", "none")
+    links = work.save(links.unionByName(_links_across(full, work, percent, bits)), "links-2")
     roots = components(links, work, "roots-2")
 
     named = reps.select("digest", "rep").join(roots, F.col("rep") == F.col("u"), "left").select(F.col("digest").alias("g"), F.coalesce("v", "rep").alias("root"))
@@ -324,3 +337,4 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     out = small.withColumn("k", key).join(named, F.col("k") == F.col("g"), "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+
