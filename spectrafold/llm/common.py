@@ -35,6 +35,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def carried(carry: tuple[str, ...], own: tuple[str, ...]) -> tuple[str, ...]:
+    """The carried columns without those that a result's own columns replace."""
+    return tuple(c for c in carry if c.lower() not in own)
+
+
 def id_columns(name: str = "doc_id") -> list[Column]:
     """An id for a Python stage: its value and whether it is null, since pandas holds integers with nulls as floats."""
     value = F.col(name).cast("long")

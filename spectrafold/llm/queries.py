@@ -90,7 +90,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", F.sha2(text_of(), 256).alias("text_sha256"))
-    return exact_groups(docs, carry=("text_sha256",)).drop("__row")
+    return exact_groups(docs, carry=("text_sha256",))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,9 +66,9 @@ def test_exact_query_matches_brute_force(spark, sf):
     assert sorted(tuple(r) for r in op9_exact_dedup(spark, sf).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == want
 
 
-@pytest.mark.parametrize("small", [0, 200_000])
-def test_components(spark, monkeypatch, small):
-    monkeypatch.setattr(components_module, "SMALL", small)
+@pytest.mark.parametrize("chunk", [9, 200_000])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components_module, "CHUNK", chunk)
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 60)] + [(1000, k) for k in range(1001, 1040)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(80)]
     got = {r["u"]: r["v"] for r in components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t"), "c").collect()}
@@ -121,6 +121,58 @@ def test_near_copies_that_drift_apart(spark, make_docs, monkeypatch, block):
     assert {r["doc_id"]: r["component_id"] for r in got} == component
 
 
+def test_template_pages_make_no_pairs(spark, make_docs):
+    """Pages that share most of a template, just below the bound: regions are mixed, and rare shingles rule every pair out."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(300)]
+    rows = [(k, " ".join(base[:250] + [word() for _ in range(50)]), "s") for k in range(80)]
+    made = []
+    save = Workspace.save
+    try:
+        Workspace.save = lambda self, df, name, *a: made.append((name, save(self, df, name, *a))) or made[-1][1]
+        got = near_groups(make_docs(rows), percent=85).collect()
+    finally:
+        Workspace.save = save
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+    counts = {name: df.count() for name, df in made if name in ("open", "lists", "pairs-2")}
+    assert counts["open"] > 40 and counts["pairs-2"] == 0
+
+
+def test_large_sets_are_ordered_by_whole_values():
+    """Minima of large sets are small numbers; the forest's words must still differ."""
+    import numpy as np
+    import pandas as pd
+
+    from spectrafold.llm.shingles import MinHash
+
+    rng = np.random.default_rng(1)
+    values = np.stack([MinHash(64).of(rng.integers(0, 1 << 63, 200_000, dtype=np.uint64)) for _ in range(4)])
+    words = near_dedup.words_of_values(values) >> np.uint32(16)
+    assert (values >> np.uint32(17)).max() == 0 and len(np.unique(words)) > 200
+    assert pd.Series(words.ravel()).value_counts().max() <= 3
+
+
+def test_survivors_of_many_groups(spark, make_docs):
+    """Texts of many surviving groups, and unique ones whose length or prefix others share."""
+    rows = [(k, f"text {k // 2:07d}", "s") for k in range(3000)] + [(9000 + k, "p" * 100 + str(k), "s") for k in range(50)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_groups(make_docs(rows)).collect()}
+    assert got == {i: (i | 1, 2, i % 2 == 1) for i in range(3000)} | {9000 + k: (9000 + k, 1, True) for k in range(50)}
+
+
+def test_carried_columns_that_clash(spark, make_docs):
+    docs = make_docs([(1, "a", "s"), (2, "a", "t")])
+    got = exact_groups(docs, carry=("kept", "source", "size")).orderBy("doc_id")
+    assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "source", "size"] and [tuple(r) for r in got.collect()] == [(1, 2, 2, False, "s", "x"), (2, 2, 2, True, "t", "x")]
+
+
+def test_very_long_texts(spark, make_docs):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, long, "s"), (2, long, "s"), (3, long + " end", "s"), (4, "short", "s")]
+    assert {r["doc_id"]: r["keep_id"] for r in exact_groups(make_docs(rows)).collect()} == {1: 2, 2: 2, 3: 3, 4: 4}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_groups(make_docs(rows), 85).collect()} == {1: (199_996, 1), 2: (199_996, 1), 3: (199_997, 1), 4: (1, 4)}
+
+
 def test_near_groups_odd_tables(spark, make_docs):
     assert near_groups(make_docs([])).count() == 0
     text = " ".join(f"w{k}" for k in range(50))
