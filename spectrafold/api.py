@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import time
 from collections import Counter
 
@@ -59,10 +60,16 @@ def convert_files(spark: SparkSession, input_files: str | list[str], output_dir:
             _convert(spark, f, suffix, out, write_mode, precision, skip_zero)
             rows.append((f, out, "ok", None))
         except Exception as e:  # one file's failure is that file's result
-            rows.append((f, None, "failed", str(e)[:500]))
+            rows.append((f, None, "failed", _reason(e)))
     return spark.createDataFrame(rows, "input string, output string, status string, message string")
 
 
+def _reason(e: Exception) -> str:
+    """The error that a task raised, without the frames that led to it."""
+    raised = re.findall(r"^\w*(?:Error|Exception): .+", str(e), re.M)
+    return (raised[-1] if raised else str(e))[:500]
+
+
 def _text(value) -> str:
     """A header value, which is one line."""
     return " ".join(str(value).split())
