@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_of
+from .common import bounded_batches, carried, text_of
 from .toxicity import labelled_sample
 
 MAX_PER_CLASS = 6000
@@ -198,7 +198,9 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
 
     Null texts count as empty, whose features are zeros.  Rows are scored on their
     own, so repeated rows and ties agree, and an empty table gives an empty one.
+    Carried columns named score or predicted give way to those of the result.
     """
+    carry = carried(carry, ("score", "predicted"))
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few tables of at most BINS cells
 

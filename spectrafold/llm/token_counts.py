@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, carried
 from .tokens import encoder, tokenizer_digest
 
 _CACHE = "digest binary, n_tokens long, version string"
@@ -41,10 +41,12 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str = "word_bpe_49k.jso
     their row; an empty table gives an empty one and leaves the cache alone in
     content.  Copies are merged before the shuffle, so a text that fills a third of
     the table moves once per map task; the last join is on digests only, and its
-    skewed side is split by adaptive execution.  Two runs that append the same
+    skewed side is split by adaptive execution.  Carried columns named n_bytes or
+    n_tokens give way to those of the result.  Two runs that append the same
     digest at once leave equal entries, which later runs merge as they read.
     """
     spark = docs.sparkSession
+    carry = carried(carry, ("n_bytes", "n_tokens"))
     bounded_batches(spark)
     version = tokenizer_digest(tokenizer)
     content, digest = _digest(F.coalesce(F.col(text_col).cast("string"), F.lit("")), tokenizer)
@@ -57,8 +59,8 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str = "word_bpe_49k.jso
             yield pd.DataFrame({"digest": b["digest"], "n_tokens": enc.batch(b["content"].tolist())[1]})
 
     missing.mapInPandas(encode, "digest binary, n_tokens long").withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
-    stored = read_cache(spark, cache, version)
-    if not stored.groupBy("digest").count().filter("count > 1").isEmpty():  # two runs at once stored an entry twice
-        stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = docs.select(*carry, F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("n_bytes"), digest.alias("__digest"))
-    return rows.join(stored, rows["__digest"] == stored["digest"], "left").select(*carry, "n_bytes", "n_tokens")
+    # two runs at once may have stored an entry twice, with the same count
+    stored = read_cache(spark, cache, version).dropDuplicates(["digest"])
+    rows = docs.select(*[F.col(c).alias(f"__carry_{c}") for c in carry], F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("n_bytes"), digest.alias("__digest"))
+    joined = rows.join(stored.select("digest", "n_tokens"), F.col("__digest") == F.col("digest"), "left")
+    return joined.select(*[F.col(f"__carry_{c}").alias(c) for c in carry], "n_bytes", "n_tokens")
