@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,5 +47,13 @@ def id_columns(name: str = "doc_id") -> list[Column]:
     return [F.coalesce(value, F.lit(0)).alias("doc_id"), value.isNull().alias("no_id")]
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from one literal, which takes no Python worker; infinite and missing numbers are kept."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows], allow_nan=True).replace("-Infinity", '"-Infinity"').replace(": Infinity", ': "Infinity"')
+    typed = ", ".join(c.replace(" ", ": ", 1) for c in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{typed}>>")))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

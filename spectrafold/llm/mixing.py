@@ -11,11 +11,12 @@ driver holds one number per source.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace, text_of
+from .common import WORD, Workspace, literal_rows, text_of
 
 SLOTS = 256
 
@@ -44,9 +45,14 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (1
     return out
 
 
+#: Up to so many sources are broadcast (some 100 bytes each); tables of more are joined.
+MANY = 100_000
+
+
 def _table(spark, rows: list[tuple], schema: str) -> DataFrame:
     """A table of one row for each source."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    table = literal_rows(spark, rows, schema)
+    return F.broadcast(table) if len(rows) <= MANY else table
 
 
 def _source_key(source: Column) -> Column:
@@ -84,10 +90,17 @@ def balance(sizes: DataFrame, target: dict[str, float], totals: dict[str, tuple[
             if not lo < new < hi:
                 new = (lo + hi) / 2 if math.isfinite(lo + hi) else (lo + 1 if hi == math.inf else hi - 1)
             state[key] = [min(max(new, x - 4), x + 4), lo, hi]
+    if state:
+        warnings.warn(f"{len(state)} sources miss their target after the last Newton step; rounding makes up for it", stacklevel=2)
     return found | {k: x[0] / scale[k] for k, x in state.items()}
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None, seed: int = 5) -> DataFrame:
+def _number(id_col: str, text: Column, seed: int) -> Column:
+    """A row's number between 0 and 1, of its id and text."""
+    return (F.xxhash64(F.col(id_col), text, F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5) -> DataFrame:
     """For every row: doc_id, source, size (words), source_size, target, rate, copies and taken (words).
 
     Rates are rounded into copies: floor(rate), and one more for the documents whose
@@ -102,6 +115,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, i
     document.  The rows per source that reach the driver grow with the number of
     sources, not of documents.  Reruns agree.
     """
+    return _decide(docs, weights, cap, id_col, text_col, source_col, seed).drop("u")
+
+
+def _decide(docs: DataFrame, weights: tuple[float, ...], cap: int, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """The rows of :func:`mix`, and u, the number that rounds their rates."""
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
     text = text_of(text_col)
@@ -109,7 +127,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, i
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        ((F.xxhash64(F.col(key_col or id_col), text, F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)).alias("u"),
+        _number(id_col, text, seed).alias("u"),
     )
     base = work.save(base, "sizes").withColumn("key", _source_key(F.col("source")))
     counted = work.save(base.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n")), "counts")
@@ -151,19 +169,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, i
     more = F.when(F.col("v") < F.col("lo"), 1).otherwise(0)
     last = F.when((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("lo") + width), F.floor(F.col("size") * F.col("part") + 0.5)).otherwise(0)
     out = rated.join(bounds, F.col("key") == F.col("b")).withColumn("copies", (F.col("floor") + more).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size") + last).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size") + last).cast("long").alias("taken"), "u")
 
 
-def mix_rows(docs: DataFrame, **options) -> DataFrame:
+def mix_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5) -> DataFrame:
     """``docs`` with every row as often as :func:`mix` takes it, all columns; a partial copy counts from half of the words on.
 
-    ``docs`` must be a table scan, as its rows are numbered.  The numbers that round
-    the rates hash doc_id and text, not the row's place.
+    Rows find their decision by source, id and the number of their id and text, so
+    repeated rows of a source share it and no row is numbered.
     """
-    columns = docs.columns
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    decided = mix(rows, id_col="__row", key_col="doc_id", **options)
+    decided = _decide(docs, weights, cap, id_col, text_col, source_col, seed)
     times = F.col("copies") + F.when(2 * (F.col("taken") - F.col("copies") * F.col("size")) >= F.greatest("size", F.lit(1)), 1).otherwise(0)
-    decided = decided.select(F.col("doc_id").alias("__id"), times.cast("int").alias("__times")).filter("__times > 0")
-    joined = rows.join(decided, F.col("__row") == F.col("__id"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
+    decided = decided.select(F.col("doc_id").alias("__id"), F.col("u").alias("__u"), F.col("source").alias("__source"), times.cast("int").alias("__times")).filter("__times > 0").distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (_number(id_col, text_of(text_col), seed) == F.col("__u"))
+    joined = docs.join(decided, same)
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

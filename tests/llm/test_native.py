@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectrafold.llm.chat import escape, fold, format_chats, parse_chats, turn_events, unescape
+from spectrafold.llm.fingerprints import _LANES as LANES
 from spectrafold.llm.fingerprints import combine, fingerprint_documents, lanes, likeness, with_next
 from spectrafold.llm.mixing import mix, mix_rows, targets
 
@@ -127,7 +128,7 @@ def test_fingerprint_of_many_pieces(spark):
     """Lanes beyond 2**20, and twice a lane beyond it, don't reach their neighbours."""
     made = spark.range(1).select(F.repeat(F.lit("a\n"), 1_100_000).alias("a"), F.repeat(F.lit("b\n"), 1_100_000).alias("b"), F.lit("a\nb\n").alias("c"))
     held = made.select("a", "b", "c", F.concat("a", "b").alias("ab")).select(*[lanes(F.col(c)).alias(c) for c in ("a", "b", "c", "ab")])
-    row = held.select((combine(F.col("a"), F.col("b")) == F.col("ab")).alias("added"), (combine(F.col("ab"), F.col("b"), -1) == F.col("a")).alias("cut"), likeness(F.col("ab"), F.col("c")).alias("like"), F.get("ab", F.lit(0)).alias("n"), F.slice("ab", 2, 120).alias("sums"), F.slice("c", 2, 120).alias("ones")).head()
+    row = held.select((combine(F.col("a"), F.col("b")) == F.col("ab")).alias("added"), (combine(F.col("ab"), F.col("b"), -1) == F.col("a")).alias("cut"), likeness(F.col("ab"), F.col("c")).alias("like"), F.get("ab", F.lit(0)).alias("n"), F.slice("ab", 2, LANES).alias("sums"), F.slice("c", 2, LANES).alias("ones")).head()
     assert row["added"] and row["cut"] and row["n"] == 2_200_000 and abs(row["like"] - 1) < 1e-9
     assert row["sums"] == [1_100_000 * k for k in row["ones"]] and set(row["ones"]) == {0, 1, 2}
 
