@@ -2,10 +2,11 @@ r"""Homomorphic multiset fingerprints of documents, in DataFrame functions only.
 
 A paragraph is a line of the text.  It is cut into pieces, up to 64 characters of a
 sentence together with the marks that end it; line ends belong to no piece, so a
-paragraph has the same pieces wherever it stands, and blank lines don't count.  Each piece hashes to a wide vector, 120 lanes of 0 or
-1 and four wide lanes, and a document's fingerprint is the sum of its pieces'
-vectors, exact for each 0/1 lane and modulo 2**32 for each wide lane.  Sums don't depend on the order of pieces, and inserting
-or deleting a paragraph adds or subtracts its vector (:func:`combine`).
+paragraph has the same pieces wherever it stands, and blank lines don't count.  Each
+piece hashes to a wide vector, 128 lanes of 0 or 1 and two lanes of 32 bits, and a
+document's fingerprint is the sum of its pieces' vectors: exact for each 0/1 lane,
+modulo 2**32 for each wide lane.  Sums don't depend on the order of pieces, and
+inserting or deleting a paragraph adds or subtracts its vector (:func:`combine`).
 
 The 0/1 lanes, centred by the number of pieces, are random signs; the cosine of two
 documents' lanes estimates that of their piece counts, which gives a likeness for
@@ -17,16 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from ..operators.ordered import deal
+from .common import literal_rows, text_of
 
 PIECE = r"[^.!?|\r\n]{1,64}+[.!?|]*+|[.!?|]++"
-_LANES = 120
-#: Two lanes are summed in one number.  All pieces but the last take two bytes at least, of fewer than 2**31, so no lane carries into the other.
-_PAIR_BITS = 30
-_PAIR = 1 | 1 << _PAIR_BITS
-_LOW_LANE = (1 << _PAIR_BITS) - 1
+_LANES = 128
+#: Eight lanes of a byte are summed in one number, over at most 127 pieces at a time.
+_CHUNK = 127
+_BYTES = 0x0101010101010101
 _LOW32 = (1 << 32) - 1
-_WIDE = 4
+_WIDE = 2
 
 
 def pieces(text: Column) -> Column:
@@ -34,28 +35,41 @@ def pieces(text: Column) -> Column:
 
 
 def _hashes(text: Column) -> Column:
-    """Four hashes of each piece."""
-    return F.transform(pieces(text), lambda p: F.struct(F.xxhash64(p, F.lit(1)).alias("a"), F.xxhash64(p, F.lit(2)).alias("b"), F.xxhash64(p, F.lit(3)).alias("c"), F.xxhash64(p, F.lit(4)).alias("d")))
+    """Three hashes of each piece."""
+    return F.transform(pieces(text), lambda p: F.struct(F.xxhash64(p, F.lit(1)).alias("a"), F.xxhash64(p, F.lit(2)).alias("b"), F.xxhash64(p, F.lit(3)).alias("c")))
 
 
-def lanes(text: Column) -> Column:
-    """The fingerprint as numbers: array<bigint> of the piece count, the 0/1 lanes and the wide lanes."""
+def _right(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftrightunsigned", value, bits)
+
+
+def _packed(hashes: Column) -> Column:
+    """Of at most _CHUNK pieces: 16 numbers of eight 0/1 lanes each, then the wide lanes."""
+
+    def total(field: str, shift: int, mask: int) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.shiftrightunsigned(h[field], shift).bitwiseAND(F.lit(mask)))
+
+    return F.array(*[total(f, k, _BYTES) for f in "ab" for k in range(8)], *[total("c", k, _LOW32) for k in (0, 32)])
 
-    def of(hashes: Column) -> Column:
-        count = F.size(hashes).cast("long")
-        one = F.lit(_PAIR)
 
-        def packed(field: str, shift: int) -> Column:
-            return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.shiftrightunsigned(h[field], shift).bitwiseAND(one))
+def lanes(text: Column) -> Column:
+    """The fingerprint as numbers: array<bigint> of the piece count, the 0/1 lanes and the wide lanes."""
 
-        def wide(field: str, shift: int) -> Column:
-            return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: (s + F.shiftrightunsigned(h[field], shift).bitwiseAND(F.lit(_LOW32))).bitwiseAND(F.lit(_LOW32)))
+    def sums(chunks: Column) -> Column:
+        """The packed chunks' lanes, each summed on its own."""
+        zero, shifts = F.lit(0).cast("long"), F.array(*[F.lit(8 * k) for k in range(8)])
+        lane = lambda word, bits: F.aggregate(chunks, zero, lambda s, c: s + _right(F.get(c, word), bits).bitwiseAND(F.lit(255)))
+        wide = lambda word: F.aggregate(chunks, zero, lambda s, c: (s + F.get(c, F.lit(word))).bitwiseAND(F.lit(_LOW32)))
+        each = F.transform(F.sequence(F.lit(0), F.lit(_LANES // 8 - 1)), lambda word: F.transform(shifts, lambda bits: lane(word, bits)))
+        return F.concat(F.flatten(each), F.array(*[wide(_LANES // 8 + k) for k in range(_WIDE)]))
 
-        pairs = F.array(*[packed(f, k) for f in "ab" for k in range(_LANES // 4)])
-        each = F.flatten(F.transform(pairs, lambda v: F.array(v.bitwiseAND(F.lit(_LOW_LANE)), F.shiftright(v, _PAIR_BITS))))
-        return F.concat(F.array(count), each, F.array(*[wide(f, k) for f in "cd" for k in (0, 32)]))
+    def of(hashes: Column) -> Column:
+        count = F.size(hashes)
+        starts = F.sequence(F.lit(1), F.greatest(count, F.lit(1)), F.lit(_CHUNK))
+        chunks = F.transform(starts, lambda k: _packed(F.slice(hashes, k, F.lit(_CHUNK))))
+        return F.concat(F.array(count.cast("long")), F.get(F.transform(F.array(chunks), sums), F.lit(0)))
 
-    # a one-element transform names the hashes once for all sums
+    # one-element transforms name the hashes, and the chunks, once for all sums
     return F.get(F.transform(F.array(_hashes(text)), of), F.lit(0))
 
 
@@ -88,42 +102,21 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((F.get(a, F.lit(0)) == 0) | (F.get(b, F.lit(0)) == 0), 0.0).otherwise(F.least(F.greatest(safe, F.lit(0.0)), F.lit(1.0)))
 
 
-def _bounds(spark, ids: DataFrame, n: int) -> list[int]:
-    """At most n - 1 ascending bounds that deal ids out evenly."""
-    if n < 2:
-        return []
-    found = ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(20 * n))).collect()[0][0]
-    return sorted(set(found or []))
-
-
-def _bucket(doc_id: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the id, found in two levels of at most 256."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, -(-len(bounds) // 256))
-    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    below = lambda xs: F.size(F.filter(xs, lambda b: b <= doc_id))
-    top = below(F.array(*[F.lit(g[-1]) for g in groups]))
-    inner = F.get(F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups]), top)
-    return F.when(doc_id.isNull(), -1).otherwise(top * step + F.coalesce(below(inner), F.lit(0)))
-
-
 def with_next(docs: DataFrame, n: int) -> DataFrame:
     """Adds next_text and next_lanes to (doc_id, text): those of the row that follows in descending doc_id; after the last comes the first.
 
     Rows are dealt to n ranges of ids and each range is a window of its own; the
     last row of a range takes the first row of the next range that has rows.  Those
     first rows, one for each range, are looked up by their ids.  Rows with equal ids
-    follow one another in the order of their texts, null ids come last.
+    follow one another in the order of their texts; null ids come last, dealt to
+    ranges by their hash.
     """
-    spark = docs.sparkSession
-    bounds = _bounds(spark, docs.select("doc_id"), n)
-    dealt = docs.withColumn("bucket", _bucket(F.col("doc_id"), bounds))
-    tops = sorted(dealt.groupBy("bucket").agg(F.max("doc_id")).collect(), reverse=True)
+    dealt = deal(docs, "doc_id", n).withColumnRenamed("__bucket", "bucket")
+    tops = sorted(dealt.groupBy("bucket").agg(F.max("doc_id")).collect(), key=lambda r: -r[0])
     if not tops:
         return docs.withColumns({"lanes": lanes(F.col("text")), "next_text": F.col("text"), "next_lanes": lanes(F.col("text"))})
-    serves = F.broadcast(spark.createDataFrame([(b, top, tops[k - 1][0]) for k, (b, top) in enumerate(tops)], "head int, top long, serves int"))
-    found = dealt.join(serves, (F.col("bucket") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    serves = literal_rows(docs.sparkSession, [(b, top, tops[k - 1][0]) for k, (b, top) in enumerate(tops)], "head int, top long, serves int")
+    found = dealt.join(F.broadcast(serves), (F.col("bucket") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("top")))
     heads = found.groupBy("serves").agg(F.min("text").alias("head_text")).withColumn("head_lanes", lanes(F.col("head_text")))
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "text")
     led = dealt.withColumn("lanes", lanes(F.col("text"))).withColumn("next", F.lead(F.struct("text", "lanes")).over(order))
