@@ -47,6 +47,15 @@ def id_columns(name: str = "doc_id") -> list[Column]:
     return [F.coalesce(value, F.lit(0)).alias("doc_id"), value.isNull().alias("no_id")]
 
 
+#: Rows of a written table that may be broadcast, at some 100 bytes each.
+FEW = 200_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast where it has at most FEW rows; a larger one is joined by shuffles."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from one literal, which takes no Python worker; infinite and missing numbers are kept."""
     names = [c.split()[0] for c in schema.split(", ")]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, carried, text_of
+from .common import Workspace, carried, few, text_of
 
 PREFIX = 64
 _LENGTH, _PREFIX = "__exact_length", "__exact_prefix"
@@ -49,7 +49,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     carry = carried(carry, ("doc_id", "keep_id", "group_size", "kept"))
     survivors = work.save(_survivors(docs, text), "survivors")
     read = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), *[c.alias(n) for n, c in _keys(text).items()], *[F.col(c).alias(f"__carry_{c}") for c in carry])
-    marked = read.join(survivors, _survives(), "left")
+    marked = read.join(few(survivors), _survives(), "left")
     full = F.when(F.col("s_length").isNotNull(), F.unhex(F.sha2("__text", 256)))
     hashed = marked.select("__id", F.col(_LENGTH), full.alias("__full"), F.monotonically_increasing_id().alias("__row"), *[f"__carry_{c}" for c in carry])
     hashed = work.save(hashed, "hashed")
@@ -83,6 +83,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text = text_of(text_col)
     survivors = Workspace(docs.sparkSession, "exact-dedup").save(_survivors(docs, text), "survivors")
+    survivors = few(survivors)
     keyed = docs.withColumns(_keys(text))
     alone = keyed.join(survivors, _survives(), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     rows = keyed.join(survivors, _survives(), "left_semi")

@@ -27,14 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, id_columns, partitions
+from .common import Workspace, bounded_batches, few, id_columns, partitions
 from .components import components
 from .shingles import MinHash, shingle_set, similar
 
 #: Values that a region shares; values from one tree's start to the next; values of a tree's order.
 LEAST, STEP, DEEP = 4, 8, 16
 #: Counters of shingle frequencies, a fixed size whatever the input.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Rows that one task of the exact join holds of a shingle's list, on each side.
 BLOCK = 2000
 _HEAD = 1 + 2 * LEAST  # bytes of a region's name
@@ -135,8 +135,8 @@ def _neighbours(orders: DataFrame, percent: int, bits: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
-    """The full shingle sets (members) of the documents in ``known`` (id, digest, and other columns), beside its columns."""
-    picked = docs.filter("not no_id").join(known, F.col("doc_id") == F.col("id")).select("text", *known.columns)
+    """The full shingle sets (members) of the documents in ``known`` (a written table of id, digest and other columns), beside its columns."""
+    picked = docs.filter("not no_id").join(few(known), F.col("doc_id") == F.col("id")).select("text", *known.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -173,7 +173,7 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at.astype(np.int32), "n": total[at]})
 
-    found = sets.select("members").mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = sets.select("members").mapInPandas(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cells = np.zeros(CELLS, np.int32)
     cells[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), 0x7FFFFFFF)
     return cells
