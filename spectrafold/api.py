@@ -96,7 +96,7 @@ def _imaging_facts(info: dict) -> dict[str, str]:
 def _convert(spark: SparkSession, path: str, suffix: str, out: str, mode: str, precision: float, skip_zero: bool) -> None:
     facts = {"date": time.strftime("%Y-%m-%dT%H:%M:%S"), "parentFile": path, "parentFormat": suffix[1:]}
     if suffix == ".fastq":
-        reads = fastq.read_fastq(spark, path)
+        reads = fastq.read_fastq(spark, path, continuous=True)
         count, length = reads.agg(F.count("sequence"), F.max(F.when(F.col("read_id") == 0, F.length("sequence")))).head()
         facts |= {"readLength": "" if length is None else str(length), "readCount": str(count)}
         convert.write_container(convert.encode_reads(reads, mode), out, "Genomics", mode, **facts)
@@ -129,10 +129,11 @@ def _convert(spark: SparkSession, path: str, suffix: str, out: str, mode: str, p
     convert.write_container(convert.encode_scans(scans, mode, precision), out, "Proteomics", mode, **facts)
 
 
-def parse_omg_file(spark: SparkSession, omg_file: str, read_mode: str = "disk") -> DataFrame:
+def parse_omg_file(spark: SparkSession, omg_file: str, read_mode: str = "disk", columns: list[str] | None = None) -> DataFrame:
     """Decoded entries of a container: scans, spectra or reads, by its header; ``memory`` keeps the blocks cached.
 
     Scans get a column ``mobility``, the 1/K0 of each peak by the file's axis; null where the file has none.
+    Only the arrays among ``columns`` are decoded.
     """
     _register(spark)
     if read_mode not in ("disk", "memory"):
@@ -141,22 +142,24 @@ def parse_omg_file(spark: SparkSession, omg_file: str, read_mode: str = "disk")
     blocks = spark.read.format("omicsblocks").load(omg_file)
     if read_mode == "memory":
         blocks = blocks.persist()
-    return _decoded(spark, blocks, info)
+    return _decoded(spark, blocks, info, columns)
 
 
-def _decoded(spark: SparkSession, blocks: DataFrame, info: dict) -> DataFrame:
+def _decoded(spark: SparkSession, blocks: DataFrame, info: dict, columns: list[str] | None = None) -> DataFrame:
     """Entries of blocks by the header: reads; spectra, with the shared m/z axis of a continuous file; scans, with their mobility."""
     mode, precision = info["writeFormat"], float(info.get("precision", "0.001"))
+    chosen = (lambda df: df.select(*columns)) if columns else (lambda df: df)
     if info["omics"] == "Genomics":
-        return convert.decode_reads(blocks, mode)
+        return chosen(convert.decode_reads(blocks, mode))
     if info["omics"] == "Metabolomics":
         continuous = info.get("storage") == "continuous"
-        out = convert.decode_spectra(blocks, mode, continuous, precision)
+        out = convert.decode_spectra(blocks, mode, continuous, precision, columns)
         if continuous:
             axis = base64_to_floats(info["continuousMzCode"], info.get("continuousMzEncoding", "f32")).tolist()
             out = out.drop("mz").crossJoin(F.broadcast(spark.createDataFrame([(axis,)], "mz array<double>")))  # one row
-        return out
-    return _with_mobility(spark, convert.decode_scans(blocks, mode, precision), info)
+        return chosen(out)
+    needed = columns and [*columns, *["mobility_index"] * ("mobility" in columns)]
+    return chosen(_with_mobility(spark, convert.decode_scans(blocks, mode, precision, needed), info))
 
 
 def _mobility(info: dict):

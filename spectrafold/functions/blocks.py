@@ -87,7 +87,9 @@ def encode_scan(scan: dict, mode: str = "binary", precision: float = 0.001, mobi
     return _text(f"scan_{whole('scan_index')}", fields, mode)
 
 
-def decode_scan(block: bytes, mode: str = "binary", precision: float = 0.001) -> dict:
+def decode_scan(block: bytes, mode: str = "binary", precision: float = 0.001, columns: list[str] | None = None) -> dict:
+    """The scan's fields; arrays that aren't among ``columns`` stay None."""
+    wanted = lambda name: columns is None or name in columns
     if mode == "binary":
         rt, precursor, energy, index, level, charge, *sizes = SCAN.unpack_from(block)
         cut = np.cumsum([SCAN.size, *sizes])
@@ -96,11 +98,13 @@ def decode_scan(block: bytes, mode: str = "binary", precision: float = 0.001) ->
         _, f = _fields(block, mode)
         rt, precursor, energy, index, level, charge = float(f["rt"]), float(f["precursorMz"]), float(f["collisionEnergy"]), int(f["scanIndex"]), int(f["msLevel"]), int(f["charge"])
         codes = [base64.b64decode(f[k]) for k in ("mz", "intensity", "mobility")]
-    q = C.ef_decode(C.unzstd(codes[0]), 32)
-    d = C.delta(C.ef_decode(C.unzstd(codes[1]), 64))
-    mob = C.delta(C.ef_decode(C.unzstd(codes[2]), 32)).tolist() if codes[2] else []
+    mz = _mz_value(C.ef_decode(C.unzstd(codes[0]), 32), precision) if wanted("mz") else None
+    inten = (C.delta(C.ef_decode(C.unzstd(codes[1]), 64)).astype(float) ** 2).tolist() if wanted("intensity") else None
+    mob = None
+    if wanted("mobility_index"):
+        mob = C.delta(C.ef_decode(C.unzstd(codes[2]), 32)).tolist() if codes[2] else []
     absent = lambda v: None if v == -1.0 else v
-    return {"scan_index": index, "rt": rt, "ms_level": level, "charge": charge or None, "precursor_mz": absent(precursor), "collision_energy": absent(energy), "mz": _mz_value(q, precision), "intensity": (d.astype(float) ** 2).tolist(), "mobility_index": mob}
+    return {"scan_index": index, "rt": rt, "ms_level": level, "charge": charge or None, "precursor_mz": absent(precursor), "collision_energy": absent(energy), "mz": mz, "intensity": inten, "mobility_index": mob}
 
 
 def encode_spectrum(s: dict, mode: str = "binary", continuous: bool = False, precision: float = 0.001) -> bytes:
@@ -118,7 +122,9 @@ def encode_spectrum(s: dict, mode: str = "binary", continuous: bool = False, pre
     return _text(f"spectrum_{int(s['spectrum_id'])}", fields, mode)
 
 
-def decode_spectrum(block: bytes, mode: str = "binary", continuous: bool = False, precision: float = 0.001) -> dict:
+def decode_spectrum(block: bytes, mode: str = "binary", continuous: bool = False, precision: float = 0.001, columns: list[str] | None = None) -> dict:
+    """The spectrum's fields; arrays that aren't among ``columns`` stay None."""
+    wanted = lambda name: columns is None or name in columns
     if mode == "binary":
         *place, floor, index, n_int, n_mz = SPECTRUM.unpack_from(block)
         code_int = block[SPECTRUM.size : SPECTRUM.size + n_int]
@@ -128,11 +134,14 @@ def decode_spectrum(block: bytes, mode: str = "binary", continuous: bool = False
         place = [float("nan") if f[k] == "NA" else float(f[k]) for k in ("positionX", "positionY", "3DPositionX", "3DPositionY", "3DPositionZ")]
         floor, index = float(f["minIntensity"]), int(f["spectrumId"])
         code_int, code_mz = base64.b64decode(f["intensity"]), base64.b64decode(f["mz"])
-    d = C.delta(C.ef_decode(C.unzstd(code_int), 64)).astype(float)
-    inten = d**2 * 1e-4 + floor if continuous else d * 1e-5 + floor
-    mz = _mz_value(C.ef_decode(C.unzstd(code_mz), 32), precision) if code_mz else []
+    inten = mz = None
+    if wanted("intensity"):
+        d = C.delta(C.ef_decode(C.unzstd(code_int), 64)).astype(float)
+        inten = (d**2 * 1e-4 + floor if continuous else d * 1e-5 + floor).tolist()
+    if wanted("mz"):
+        mz = _mz_value(C.ef_decode(C.unzstd(code_mz), 32), precision) if code_mz else []
     out = dict(zip(("pos_x", "pos_y", "pos_3dx", "pos_3dy", "pos_3dz"), [None if v != v else v for v in place]))
-    return out | {"spectrum_id": index, "intensity": inten.tolist(), "mz": mz}
+    return out | {"spectrum_id": index, "intensity": inten, "mz": mz}
 
 
 def encode_reads(first: int, identifiers: list[str], sequences: list[str], qualities: list[str], mode: str = "binary") -> bytes:

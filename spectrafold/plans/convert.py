@@ -54,10 +54,12 @@ def encode_scans(scans: DataFrame, mode: str = "binary", precision: float = 0.00
     return rows.mapInPandas(run, BLOCK)
 
 
-def decode_scans(blocks: DataFrame, mode: str = "binary", precision: float = 0.001) -> DataFrame:
+def decode_scans(blocks: DataFrame, mode: str = "binary", precision: float = 0.001, columns: list[str] | None = None) -> DataFrame:
+    """All columns of SCAN; arrays that aren't among ``columns`` are null and not decoded."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [{"block_id": i} | B.decode_scan(p, mode, precision) for i, p in zip(b["block_id"], b["payload"])]
+            rows = [{"block_id": i} | B.decode_scan(p, mode, precision, columns) for i, p in zip(b["block_id"], b["payload"])]
             yield pd.DataFrame(rows, columns=_names(SCAN)).astype({"charge": "Int32"})
 
     return blocks.select("block_id", "payload").mapInPandas(run, SCAN)
@@ -72,10 +74,12 @@ def encode_spectra(spectra: DataFrame, mode: str = "binary", continuous: bool =
     return spectra.mapInPandas(run, BLOCK)
 
 
-def decode_spectra(blocks: DataFrame, mode: str = "binary", continuous: bool = False, precision: float = 0.001) -> DataFrame:
+def decode_spectra(blocks: DataFrame, mode: str = "binary", continuous: bool = False, precision: float = 0.001, columns: list[str] | None = None) -> DataFrame:
+    """All columns of SPECTRUM; arrays that aren't among ``columns`` are null and not decoded."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [{"block_id": i} | B.decode_spectrum(p, mode, continuous, precision) for i, p in zip(b["block_id"], b["payload"])]
+            rows = [{"block_id": i} | B.decode_spectrum(p, mode, continuous, precision, columns) for i, p in zip(b["block_id"], b["payload"])]
             yield pd.DataFrame(rows, columns=_names(SPECTRUM))
 
     return blocks.select("block_id", "payload").mapInPandas(run, SPECTRUM)
@@ -103,6 +107,10 @@ def decode_reads(blocks: DataFrame, mode: str = "binary") -> DataFrame:
     return blocks.select("payload").mapInPandas(run, READ)
 
 
-def write_container(blocks: DataFrame, path: str, omics: str, mode: str = "binary", **info) -> None:
-    """Blocks in one container file, in order of block_id."""
-    blocks.write.format("omicsblocks").mode("overwrite").option("mode", mode).option("info", json.dumps({"omics": omics, **info})).save(path)
+def write_container(blocks: DataFrame, path: str, omics: str, mode: str = "binary", folder: bool = False, **info) -> None:
+    """Blocks in order of block_id: in one container file, which the driver joins, or in a ``folder`` of container files, each written by its task."""
+    if folder:
+        n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.repartitionByRange(n, "block_id").sortWithinPartitions("block_id")
+    header = json.dumps({"omics": omics, **info})
+    blocks.write.format("omicsblocks").mode("overwrite").option("mode", mode).option("folder", str(folder)).option("info", header).save(path)

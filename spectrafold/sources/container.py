@@ -34,8 +34,7 @@ class BlockReader(DataSourceReader):
     """The driver reads trailers only; a task seeks to its own stretch of blocks.  Filters on block_id drop blocks before they are read."""
 
     def __init__(self, path: str, per_task: int):
-        where = mounted(path)
-        self.files = sorted(os.path.join(where, f) for f in os.listdir(where) if not f.startswith((".", "_"))) if os.path.isdir(where) else [where]
+        self.files = _files(path)
         self.per_task, self.low, self.high = per_task, 0, 1 << 62
 
     def pushFilters(self, filters):
@@ -51,14 +50,15 @@ class BlockReader(DataSourceReader):
             yield f  # Spark checks them again
 
     def partitions(self):
-        out = []
+        out, before = [], 0  # the blocks of a folder's files are numbered one file after another
         for file in self.files:
             with open(file, "rb") as f:
                 _, starts, lengths = C.read_index(f)
-            lo, hi = min(self.low, len(starts)), min(self.high + 1, len(starts))
+            lo, hi = (min(max(0, x - before), len(starts)) for x in (self.low, self.high + 1))
             for k in range(lo, hi, self.per_task):
                 e = min(k + self.per_task, hi)
-                out.append(Range(file, k, starts[k:e].tolist(), lengths[k:e].tolist()))
+                out.append(Range(file, before + k, starts[k:e].tolist(), lengths[k:e].tolist()))
+            before += len(starts)
         return out or [Range("", 0, [], [])]
 
     def read(self, part):
@@ -131,6 +131,37 @@ class BlockWriter(DataSourceWriter):
         shutil.rmtree(self.parts, ignore_errors=True)
 
 
+class FolderWriter(BlockWriter):
+    """Each task's rows, which come in order of block_id, become a container file of their own; the commit renames the files' folder."""
+
+    def write(self, rows):
+        os.makedirs(self.parts, exist_ok=True)
+        task = TaskContext.get()
+        path = f"{self.parts}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        head = C.header(self.info, self.mode)
+        lengths = [len(head)]
+        with open(path, "wb") as f:
+            f.write(head)
+            for r in rows:
+                lengths.append(f.write(r[self.at[1]]))
+            f.write(C.trailer(lengths, self.mode))
+        return Part(path, [], [])
+
+    def commit(self, messages):
+        if os.path.exists(self.path) and not self.overwrite:
+            self.abort(messages)
+            raise FileExistsError(self.path)
+        kept = {m.path for m in messages if m}
+        for name in os.listdir(self.parts):  # attempts that were lost or repeated
+            if f"{self.parts}/{name}" not in kept:
+                os.remove(f"{self.parts}/{name}")
+        if os.path.isdir(self.path):
+            shutil.rmtree(self.path)
+        elif os.path.exists(self.path):
+            os.remove(self.path)
+        os.replace(self.parts, self.path)
+
+
 class BlockSource(DataSource):
     """``spark.read.format("omicsblocks").load(path)`` and ``blocks.write.format("omicsblocks").option("info", <header as JSON>).save(path)``."""
 
@@ -146,7 +177,8 @@ class BlockSource(DataSource):
 
     def writer(self, schema, overwrite: bool) -> BlockWriter:
         info = json.loads(self.options.get("info", '{"omics": "Proteomics"}'))
-        return BlockWriter(self.options["path"], self.options.get("mode", "binary"), info, overwrite, schema.names)
+        kind = FolderWriter if self.options.get("folder", "false").lower() == "true" else BlockWriter
+        return kind(self.options["path"], self.options.get("mode", "binary"), info, overwrite, schema.names)
 
 
 def register(spark: SparkSession) -> None:
@@ -155,12 +187,21 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BlockSource)
 
 
+def _files(path: str) -> list[str]:
+    where = mounted(path)
+    return sorted(os.path.join(where, f) for f in os.listdir(where) if not f.startswith((".", "_"))) if os.path.isdir(where) else [where]
+
+
 def file_header(path: str) -> dict:
-    with open(mounted(path), "rb") as f:
+    """The header; that of the first file where ``path`` is a folder."""
+    with open(_files(path)[0], "rb") as f:
         return C.read_index(f)[0]
 
 
 def block_count(path: str) -> int:
-    """Number of blocks, from the trailer alone."""
-    with open(mounted(path), "rb") as f:
-        return len(C.read_index(f)[1])
+    """Number of blocks, from the trailers alone."""
+    total = 0
+    for file in _files(path):
+        with open(file, "rb") as f:
+            total += len(C.read_index(f)[1])
+    return total
