@@ -10,8 +10,8 @@ sets, and links make components.
 Regions (stretches of a tree that share LEAST values) whose sets lie in one component
 are done.  The sets of the others go to an exact join: a set's shingles are ordered
 from rare to common, and two sets at or above the bound share a shingle among the
-first few of both.  What passes is confirmed on full sets.  So no region is searched
-pair by pair, and none is capped.
+first few of both.  Sets that this leaves open are compared on full sets, in blocks
+of bounded size.  So no region is searched pair by pair, and none is capped.
 
 A pair at the least similarity s shares a region with probability
 1 - (1 - s**LEAST)**TREES: 0.99999 at 0.85 and at 0.8 (16 and 22 trees).
@@ -35,8 +35,8 @@ from .shingles import MinHash, shingle_set, similar
 LEAST, STEP, DEEP = 4, 8, 16
 #: Counters of shingle frequencies, a fixed size whatever the input.
 CELLS = 1 << 18
-#: Rows that one task of the exact join holds of a shingle's list, on each side.
-BLOCK = 2000
+#: Rows that one task holds of a shingle's list, on each side; sets, and bytes of them, of a cluster's block.
+BLOCK, BLOCK_BYTES = 1000, 16 << 20
 _HEAD = 1 + 2 * LEAST  # bytes of a region's name
 
 
@@ -207,29 +207,31 @@ def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     return sets.mapInPandas(run, "shingle long, id long, root long, n int, sketch binary, indexed boolean")
 
 
-def _list_pairs(rows: pd.DataFrame, limit: int, percent: int) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of different components that parts of shingles' lists leave open; rows are sorted by part, those asked before those held."""
+def _list_ties(rows: pd.DataFrame, limit: int, percent: int) -> pd.DataFrame:
+    """Sets that parts of shingles' lists leave open, each tied to the first of its part (a star, not the pairs); rows are sorted by part, those asked before those held."""
     bits = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
     n, ids, root, held = (rows[c].to_numpy() for c in ("n", "id", "root", "held"))
-    n = n.astype(np.int64)
-    begin = np.flatnonzero(_starts(rows))
+    n, first = n.astype(np.int64), _starts(rows)
+    begin, part = np.flatnonzero(first), np.cumsum(first) - 1
     asked = np.add.reduceat((~held).astype(np.int64), begin)
-    part = np.cumsum(_starts(rows)) - 1
     at = np.flatnonzero(held & (asked[part] > 0))
     upto = np.cumsum(asked[part[at]])
-    lo = 0
+    hit, lo = np.zeros(len(rows), bool), 0
     while lo < len(at):  # about a million comparisons at a time
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 20), "right")))
-        size, first = asked[part[at[lo:hi]]], begin[part[at[lo:hi]]]
+        size, start = asked[part[at[lo:hi]]], begin[part[at[lo:hi]]]
         x = np.repeat(at[lo:hi], size)
-        y = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        y = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
         ok = ((n[x] < n[y]) | ((n[x] == n[y]) & (ids[x] < ids[y]))) & (root[x] != root[y]) & (100 * n[x] >= percent * n[y])
         x, y = x[ok], y[ok]
         close = _differing(bits[x], bits[y]) <= limit
-        if close.any():
-            pair = np.unique(np.stack([ids[x[close]], ids[y[close]]]), axis=1)
-            yield pd.DataFrame({"a": pair.max(axis=0), "b": pair.min(axis=0)})
+        hit[x[close]] = hit[y[close]] = True
         lo = hi
+    hit = np.flatnonzero(hit)
+    _, star, of = np.unique(part[hit], return_index=True, return_inverse=True)
+    a, b = ids[hit], ids[hit[star[of]]] if len(hit) else ids[hit]
+    tied = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+    return pd.DataFrame({"a": tied[0], "b": tied[1]})
 
 
 def _starts(rows: pd.DataFrame) -> np.ndarray:
@@ -258,12 +260,56 @@ def _whole_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _links_across(sets: DataFrame, work: Workspace, percent: int, bits: int) -> DataFrame:
-    """All links between components among ``sets`` (id, root, n, sketch, members), by an exact prefix join.
+def _block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links across components among the sets of one block, or between two blocks; one for each pair of components at most."""
+    first = rows["block"].to_numpy() == rows["low"].to_numpy()[0]
+    sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
+    rep, root = rows["id"].to_numpy(), rows["root"].to_numpy()
+    same = rows["low"].iloc[0] == rows["high"].iloc[0]
+    asked = np.flatnonzero(first)
+    held = asked if same else np.flatnonzero(~first)
+    if not len(held) or not len(asked):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    size = np.array([len(sets[k]) for k in held])
+    flat, owner = np.concatenate([sets[k] for k in held]), np.repeat(np.arange(len(held)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    leader = {r: r for r in set(root.tolist())}
+
+    def find(x):
+        while leader[x] != x:
+            x = leader[x]
+        return x
+
+    # sets of the commonest component are only asked about, which spares most comparisons
+    values, counts = np.unique(root[asked], return_counts=True)
+    main = values[counts.argmax()]
+    queries = asked[root[asked] != main] if same else asked
+    out = []
+    for q in queries:
+        other = root[held] != root[q]
+        if not other.any():
+            continue
+        lo, hi = np.searchsorted(flat, sets[q], "left"), np.searchsorted(flat, sets[q], "right")
+        n = hi - lo
+        both = np.bincount(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(held))
+        for k in np.flatnonzero(other & (100 * both >= percent * (len(sets[q]) + size - both))):
+            x, y = find(int(root[q])), find(int(root[held[k]]))
+            if x != y:
+                leader[max(x, y)] = min(x, y)
+                out.append((max(rep[q], rep[held[k]]), min(rep[q], rep[held[k]])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    A list of one component, or without an indexed row, makes no pair.  Long lists
-    are dealt out in parts of about BLOCK rows on either side, a task for each two
-    parts; rows carry sketches, not sets.
+
+def _links_across(sets: DataFrame, work: Workspace, percent: int, bits: int) -> DataFrame:
+    """All links between components among ``sets`` (id, root, n, sketch, members), by an exact prefix join; one for each pair of components and task.
+
+    A list of one component, or without an indexed row, leaves nothing open.  Long
+    lists are dealt out in parts of about BLOCK rows on either side, a task for each
+    two parts; rows carry sketches, not sets.  Open sets that hang together form a
+    cluster, which is compared with itself in blocks of bounded size, every two
+    blocks in a task of their own; no pair leaves its task unless it links two
+    components.
     """
     rows = work.save(_rare_shingles(sets, percent), "rare")
     lists = rows.groupBy(F.col("shingle").alias("key")).agg(F.count(F.lit(1)).alias("ask"), F.count_if("indexed").alias("hold"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -279,11 +325,21 @@ def _links_across(sets: DataFrame, work: Workspace, percent: int, bits: int) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _whole_parts(batches):
-            yield from _list_pairs(rows, limit, percent)
+            yield _list_ties(rows, limit, percent)
 
     dealt = asked.unionByName(held).repartition(partitions(sets.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "held")
-    pairs = work.save(dealt.mapInPandas(run, "a long, b long").distinct(), "pairs-2")
-    return _confirmed(pairs, sets, percent)
+    ties = work.save(dealt.mapInPandas(run, "a long, b long").distinct(), "ties")
+
+    clusters = components(ties, work, "clusters")
+    ids = ties.select(F.explode(F.array("a", "b")).alias("i")).distinct()
+    named = ids.join(clusters, F.col("i") == F.col("u"), "left").select("i", F.coalesce("v", "i").alias("cluster"))
+    full = work.save(sets.join(named, F.col("id") == F.col("i")).select("id", "cluster", "root", "n", "members"), "clustered", "none")
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(8 * F.col("n").cast("long")) / BLOCK_BYTES)).cast("int")
+    sizes = work.save(full.groupBy(F.col("cluster").alias("c")).agg(size.alias("blocks")), "cluster-sizes")
+    placed = full.join(sizes, F.col("cluster") == F.col("c")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    tasks = placed.select("id", "cluster", "block", "root", "members", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    tasks = tasks.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
+    return tasks.groupBy("cluster", "low", "high").applyInPandas(lambda rows: _block_links(rows, percent), "a long, b long")
 
 
 def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -135,8 +135,8 @@ def test_template_pages_make_no_pairs(spark, make_docs):
     finally:
         Workspace.save = save
     assert all(r["component_id"] == r["doc_id"] for r in got)
-    counts = {name: df.count() for name, df in made if name in ("open", "lists", "pairs-2")}
-    assert counts["open"] > 40 and counts["pairs-2"] == 0
+    counts = {name: df.count() for name, df in made if name in ("open", "lists", "ties")}
+    assert counts["open"] > 40 and counts["ties"] == 0
 
 
 def test_large_sets_are_ordered_by_whole_values():
