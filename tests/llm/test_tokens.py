@@ -2,11 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
+import zstandard
 
 from spectrafold.llm import wordtable
 from spectrafold.llm.packing import pack, pack_stream
-from spectrafold.llm.range_coder import decode_ids, encode_ids
+from spectrafold.llm.range_coder import SEGMENT, decode_ids, encode_ids
 from spectrafold.llm.token_counts import count_tokens
 from spectrafold.llm.token_store import read_ids, write_ids
 from spectrafold.llm.tokens import encoder
@@ -39,7 +41,7 @@ def test_word_table_long_texts_and_full_table(monkeypatch):
         assert counts.tolist() == [len(truth(t)) for t in texts]
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 1000, 70000])
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 1000, 2560, 70000, 400000])
 @pytest.mark.parametrize("kind", ["even", "same", "skewed"])
 def test_range_coder_round_trip(n, kind):
     rng = np.random.default_rng(n)
@@ -60,6 +62,30 @@ def test_range_coder_beats_plain_compression():
     assert len(encode_ids(x, 49408)) < len(zlib.compress(x.astype("<u2").tobytes()))
 
 
+def test_range_coder_beats_zstd_on_documents():
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").sort_values("doc_id")["text"].fillna("").tolist()
+    x = np.concatenate([np.append(y, 1) for y in encoder(NAME).each(texts)]).astype("<u4")
+    code = encode_ids(x, 49408)
+    assert (decode_ids(code) == x).all()
+    assert len(code) < len(zstandard.ZstdCompressor(19).compress(x.astype("<u2").tobytes()))
+
+
+def test_segments_are_reset():
+    x = (np.arange(SEGMENT + 1000) % 300).astype("<u4")
+    code = encode_ids(x, 49408)
+    assert (decode_ids(code) == x).all()
+    assert code.endswith(encode_ids(x[SEGMENT:], 49408))
+
+
+def test_damaged_heads_fail():
+    code = encode_ids(np.arange(2000, dtype="<u4"), 49408)
+    for at, value in ((0, 0), (7, 255), (12, 9)):
+        broken = bytearray(code)
+        broken[at] = value
+        with pytest.raises(ValueError):
+            decode_ids(bytes(broken))
+
+
 def test_store_round_trip(spark, make_docs, tmp_path):
     path = f"file://{tmp_path}/store"
     write_ids(make_docs(ROWS), path, NAME)
