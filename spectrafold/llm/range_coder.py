@@ -32,6 +32,7 @@ _MIX = 12
 _FREQ = 24
 _STEP = 6  # vocabulary + _STEP * SEGMENT stays below 2**_FREQ, so every id keeps a share
 _CELLS = 4 * 8 * 8
+_PLACE = 18  # bits of a place in a phase, of LANES * PHASE ids at most
 
 
 class _Model:
@@ -79,12 +80,13 @@ class _Model:
 
     def follow(self, pairs: np.ndarray) -> None:
         """Add a phase's sorted pairs (one id and the next, as one number) to the order-1 counts."""
-        new, times = np.unique(pairs, return_counts=True)
-        known = np.concatenate([self.pairs, new])
-        order = np.argsort(known, kind="stable")
-        known, times = known[order], np.concatenate([self.times, times])[order]
-        first = np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]]))
-        self.pairs, self.times = known[first], np.add.reduceat(times, first)
+        first = _starts(pairs)
+        known = np.concatenate([self.pairs, pairs[first]])
+        times = np.concatenate([self.times, np.diff(first, append=len(pairs))])
+        order = np.argsort(known, kind="stable")  # two sorted runs, which this merges
+        known = known[order]
+        first = _starts(known)
+        self.pairs, self.times = known[first], np.add.reduceat(times[order], first)
         self.sums = np.concatenate([[0], np.cumsum(self.times)]).astype(np.uint64)
         ends = np.searchsorted(self.pairs, np.arange(self.vocabulary + 2) * self.vocabulary)
         self.base, self.total = self.sums[ends[:-1]], np.diff(self.sums[ends])
@@ -125,6 +127,11 @@ def _renorm(low: np.ndarray, rng: np.ndarray, emit) -> None:
         go, settled, short = go[more], settled[more], short[more]
 
 
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
 def _slot(prev: np.ndarray, older: np.ndarray) -> np.ndarray:
     return (older.astype(np.int64) * 40503 + prev * 769) & ((1 << _HASH_BITS) - 1)
 
@@ -160,14 +167,17 @@ def encode_segment(ids: np.ndarray, vocabulary: int) -> bytes:
         before = np.full((lanes, steps), vocabulary, np.int32)
         before[:, 1:] = grid[:, :-1]
         pairs = (before.astype(np.int64) * vocabulary + grid).ravel()[:size]
-        order = np.argsort(pairs)
-        pairs = pairs[order]
+        keyed = np.sort(pairs << _PLACE | np.arange(size))  # faster than argsort
+        order, pairs = keyed & ((1 << _PLACE) - 1), keyed >> _PLACE
         start1, size1 = np.zeros(lanes * steps, np.uint64), np.zeros(lanes * steps, np.uint64)
         if len(model.pairs):
-            found = np.minimum(np.searchsorted(model.pairs, pairs), len(model.pairs) - 1)
-            known = np.flatnonzero(model.pairs[found] == pairs)
-            found, known = found[known], order[known]
-            start1[known], size1[known] = model.sums[found] - model.base[before.reshape(-1)[known]], model.times[found]
+            first = _starts(pairs)
+            each = pairs[first]
+            found = np.minimum(np.searchsorted(model.pairs, each), len(model.pairs) - 1)
+            times = np.where(model.pairs[found] == each, model.times[found], 0)
+            often = np.diff(first, append=size)
+            start1[order] = np.repeat(model.sums[found] - model.base[each // vocabulary], often)
+            size1[order] = np.repeat(times.astype(np.uint64), often)
         grid, before, start1, size1 = (np.ascontiguousarray(y.reshape(lanes, steps).T) for y in (grid, before, start1, size1))
         older = np.full((steps, lanes), vocabulary, np.int32)
         older[1:] = before[:-1]
@@ -279,7 +289,7 @@ def decode_segment(data: memoryview) -> tuple[np.ndarray, int]:
                 before[t + 1, :k] = x
         part = grid.T.reshape(-1)[:size]
         ids[first : first + size] = part
-        model.follow((before.T.reshape(-1)[:size].astype(np.int64) * vocabulary + part))
+        model.follow(np.sort(before.T.reshape(-1)[:size].astype(np.int64) * vocabulary + part))
     if zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("a segment of token ids fails its checksum")
     return ids, begin + 2 * total
