@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafold.llm.common import Workspace
+from spectrafold.llm.common import Workspace, without
 from spectrafold.llm.exact_dedup import exact_dedup
 from spectrafold.llm.mixing import mix_rows
 from spectrafold.llm.near_dedup import near_groups
@@ -29,8 +29,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity of 0.8 or more): the one with the smallest id."""
-    gone = near_groups(docs, percent=80).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    work = Workspace(spark, "near-stage", tidy=True)
+    gone = near_groups(docs, percent=80, work=work).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = Workspace(spark, "near-gone", tidy=True).save(gone, "ids")
+    work.drop()
+    return without(docs, "doc_id", gone, "__gone")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,37 @@ def few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= FEW else table
 
 
+#: Words of a sieve, 64 bits each: a fixed size whatever the table.
+SIEVE = 1 << 18
+
+
+def _sieved(rows: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose column may be among a table's keys (whole numbers), and rows whose column isn't, by a broadcast of bits."""
+    word = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(SIEVE)).cast("int")
+    bit = lambda c: F.pmod(F.shiftright(F.xxhash64(F.col(c).cast("long")), 32), F.lit(64)).cast("int")
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(key)))
+    words = F.broadcast(keys.groupBy(word(key).alias("__word")).agg(bits.alias("__bits")))
+    both = rows.join(words, word(column) == F.col("__word"), "left")
+    hit = F.coalesce(F.getbit("__bits", bit(column)) == 1, F.lit(False))
+    return both.filter(hit).drop("__word", "__bits"), both.filter(~hit).drop("__word", "__bits")
+
+
+def matching(rows: DataFrame, column: str, table: DataFrame, key: str) -> DataFrame:
+    """Rows joined with a written table by a whole number.  A table of more than FEW rows is joined by shuffles, to which only rows go whose column may be in it."""
+    if table.count() > FEW:
+        rows = _sieved(rows, column, table, key)[0]
+    return rows.join(few(table), F.col(column) == F.col(key))
+
+
+def without(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose column, a whole number or null, isn't among a written table's keys; of more than FEW keys, other rows aren't shuffled."""
+    same = F.col(column) == F.col(key)
+    if keys.count() <= FEW:
+        return rows.join(F.broadcast(keys), same, "left_anti")
+    perhaps, never = _sieved(rows, column, keys, key)
+    return never.union(perhaps.join(keys, same, "left_anti"))
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from one literal, which takes no Python worker; infinite and missing numbers are kept."""
     names = [c.split()[0] for c in schema.split(", ")]

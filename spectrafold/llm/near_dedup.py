@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, few, id_columns, partitions
+from .common import Workspace, bounded_batches, id_columns, matching, partitions
 from .components import components
 from .shingles import MinHash, shingle_set, similar
 
@@ -136,7 +136,7 @@ def _neighbours(orders: DataFrame, percent: int, bits: int) -> DataFrame:
 
 def _sets(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
     """The full shingle sets (members) of the documents in ``known`` (a written table of id, digest and other columns), beside its columns."""
-    picked = docs.filter("not no_id").join(few(known), F.col("doc_id") == F.col("id")).select("text", *known.columns)
+    picked = matching(docs.filter("not no_id"), "doc_id", known, "id").select("text", *known.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -329,6 +329,7 @@ def _links_across(sets: DataFrame, work: Workspace, percent: int, bits: int) ->
 
     dealt = asked.unionByName(held).repartition(partitions(sets.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "held")
     ties = work.save(dealt.mapInPandas(run, "a long, b long").distinct(), "ties")
+    work.drop("rare")
 
     clusters = components(ties, work, "clusters")
     ids = ties.select(F.explode(F.array("a", "b")).alias("i")).distinct()
@@ -342,7 +343,7 @@ def _links_across(sets: DataFrame, work: Workspace, percent: int, bits: int) ->
     return tasks.groupBy("cluster", "low", "high").applyInPandas(lambda rows: _block_links(rows, percent), "a long, b long")
 
 
-def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) for every row.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle
@@ -357,10 +358,15 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     a large group of copies is one set.  The trees' orders are dealt to tasks by
     ranges, so a large region is many tasks' work; every set brings one candidate to
     be confirmed.  All links are confirmed on full sets; nothing is capped.
+
+    Texts are read where they lie: only those of sets to be compared are shuffled.
+    Sets and shuffle files go when a step is done.  Tables that the result needs lie
+    in ``work`` (by default a folder that goes with the session), which its owner may
+    drop once the result is written.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    work = Workspace(spark, "near-dedup")
+    work = work or Workspace(spark, "near-dedup", tidy=True)
     trees = trees_for(percent)
     bits = trees * STEP
     texts = docs.select(*id_columns(id_col), F.col(text_col).cast("string").alias("text"))
@@ -376,6 +382,7 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = work.save(ids.join(reps, F.col("id") == F.col("rep")).select("id", "digest"), "ids-1")
     links = work.save(_confirmed(pairs, work.save(_sets(texts, ids, width), "members-1", "none"), percent), "links-1")
+    work.drop("members-1")
     roots = components(links, work, "roots-1")
 
     placed = regions.join(roots, F.col("rep") == F.col("u"), "left").select("region", "rep", F.coalesce("v", "rep").alias("root"))
@@ -384,6 +391,7 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     open_ = work.save(open_.join(reps, F.col("id") == F.col("rep")).select("id", "root", "n", "sketch", "digest"), "open")
     full = work.save(_sets(texts, open_, width), "members-2", "none")
     links = work.save(links.unionByName(_links_across(full, work, percent, bits)), "links-2")
+    work.drop("members-2", "clustered")
     roots = components(links, work, "roots-2")
 
     named = reps.select("digest", "rep").join(roots, F.col("rep") == F.col("u"), "left").select(F.col("digest").alias("g"), F.coalesce("v", "rep").alias("root"))

@@ -20,11 +20,19 @@ def shared_base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Whether a finished query's shuffle files go at once, not when the driver collects its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
-    """Tables that cut lineage and survive lost executors; they go when they are dropped, at the latest with the session."""
+    """Tables that cut lineage and survive lost executors; they go when they are dropped, at the latest with the session.
+
+    A tidy one also removes the shuffle files of each table as soon as it is written.
+    """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
         self.spark = spark
+        self.tidy = tidy
         self.root = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
         self._marked = False
 
@@ -41,7 +49,14 @@ class Workspace:
         self._marked = self._marked or system.deleteOnExit(where)
 
     def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        before = self.spark.conf.get(_TIDY, "false")
+        if self.tidy:
+            self.spark.conf.set(_TIDY, "true")
+        try:
+            df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        finally:
+            if self.tidy:
+                self.spark.conf.set(_TIDY, before)
         if not self._marked:
             self.expire()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
