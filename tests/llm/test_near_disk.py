@@ -8,19 +8,20 @@ import pytest
 import corpus_pipeline
 from spectrafold.llm import common
 from spectrafold.llm.common import Workspace
+from spectrafold.llm.near_dedup import near_groups
 
 
 @pytest.fixture
 def shuffled_bytes(spark, docs, monkeypatch):
     """The most bytes of shuffle files on disk after any table was written, beyond those of making the documents."""
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    now = lambda: sum(p.stat().st_size for d in disk.localDirs() for p in Path(d.getAbsolutePath()).rglob("shuffle_*.data"))
-    floor, most = now(), [0]
+    files = lambda: {p: p.stat().st_size for d in disk.localDirs() for p in Path(d.getAbsolutePath()).rglob("shuffle_*.data")}
+    old, most = set(files()), [0]
     save = Workspace.save
 
     def watched(self, *a):
         table = save(self, *a)
-        most[0] = max(most[0], now() - floor)
+        most[0] = max(most[0], sum(n for p, n in files().items() if p not in old))
         return table
 
     monkeypatch.setattr(Workspace, "save", watched)
@@ -63,3 +64,13 @@ def test_without(spark, monkeypatch, few):
     table = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id int, text string")
     got = [tuple(r) for r in common.without(table, "doc_id", gone, "g").collect()]
     assert sorted(got, key=str) == sorted([(i, str(i)) for i in ids if i is None or (i + 300) % 7], key=str)
+
+
+def test_near_groups_shuffle_no_other_texts(spark, docs, shuffled_bytes, rows, monkeypatch):
+    """Sets of finished steps go, too."""
+    dropped, drop = set(), Workspace.drop
+    monkeypatch.setattr(Workspace, "drop", lambda self, *names: dropped.update(names) or drop(self, *names))
+    got = near_groups(docs, percent=85).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == sorted((i or -1, (i if i < 1000 else i // 10 * 10) or -1) if i is not None else (-1, -1) for i, _, _ in rows)
+    assert {"members-1", "members-2", "rare", "clustered"} <= dropped
+    assert shuffled_bytes() < sum(len(t) for _, t, _ in rows) / 4
