@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ LEAST, STEP, DEEP = 4, 8, 16
 CELLS = 1 << 18
 #: Rows that one task holds of a shingle's list, on each side; sets, and bytes of them, of a cluster's block.
 BLOCK, BLOCK_BYTES = 1000, 16 << 20
+#: Bytes of sets beyond which they are sent in rounds; rounds in which candidates are confirmed, at most.
+ROUND_BYTES, ROUNDS = 256 << 20, 8
 _HEAD = 1 + 2 * LEAST  # bytes of a region's name
 
 
@@ -163,6 +166,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
+def _candidate_links(texts: DataFrame, pairs: DataFrame, reps: DataFrame, work: Workspace, percent: int, width: int) -> DataFrame:
+    """The pairs (a, b) that hold on full sets.
+
+    Sets are twice as large as their texts' file or more, and the joins send them
+    three times.  Beyond ROUND_BYTES of them the pairs are dealt to rounds by a, and
+    disk holds one round's sets and shuffles.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = work.save(ids.join(reps, F.col("id") == F.col("rep")).select("id", "digest", "n"), "ids-1")
+    size = ids.agg(F.sum(8 * F.col("n").cast("long"))).collect()[0][0] or 0
+    rounds, found = min(ROUNDS, -(-size // ROUND_BYTES)) or 1, []
+    known = ids.select("id", "digest")
+    for k in range(rounds):
+        tag, part, of = (f"1-{k}", pairs.filter(F.pmod(F.xxhash64("a"), F.lit(rounds)) == k), known) if rounds > 1 else ("1", pairs, known)
+        if rounds > 1:
+            own = part.select(F.explode(F.array("a", "b")).alias("i")).distinct()
+            of = work.save(known.join(own, F.col("id") == F.col("i"), "left_semi"), f"ids-{tag}")
+        sets = work.save(_sets(texts, of, width), f"members-{tag}", "none")
+        found.append(work.save(_confirmed(part, sets, percent), f"links-{tag}"))
+        work.drop(f"members-{tag}")
+    return reduce(DataFrame.unionByName, found)
+
+
 def _frequencies(sets: DataFrame) -> np.ndarray:
     """How many sets hold the shingles of each of CELLS cells: a fixed number of counters, summed up by the executors."""
 
@@ -309,7 +335,8 @@ def _links_across(sets: DataFrame, work: Workspace, percent: int, bits: int) ->
     two parts; rows carry sketches, not sets.  Open sets that hang together form a
     cluster, which is compared with itself in blocks of bounded size, every two
     blocks in a task of their own; no pair leaves its task unless it links two
-    components.
+    components.  The tasks are dealt to rounds, each of which sends about as many
+    bytes as the clusters have (ROUND_BYTES at least).
     """
     rows = work.save(_rare_shingles(sets, percent), "rare")
     lists = rows.groupBy(F.col("shingle").alias("key")).agg(F.count(F.lit(1)).alias("ask"), F.count_if("indexed").alias("hold"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -337,10 +364,21 @@ def _links_across(sets: DataFrame, work: Workspace, percent: int, bits: int) ->
     full = work.save(sets.join(named, F.col("id") == F.col("i")).select("id", "cluster", "root", "n", "members"), "clustered", "none")
     size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(8 * F.col("n").cast("long")) / BLOCK_BYTES)).cast("int")
     sizes = work.save(full.groupBy(F.col("cluster").alias("c")).agg(size.alias("blocks")), "cluster-sizes")
+    work.drop("members-2")  # those that are still needed are written
     placed = full.join(sizes, F.col("cluster") == F.col("c")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    tasks = placed.select("id", "cluster", "block", "root", "members", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    tasks = tasks.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
-    return tasks.groupBy("cluster", "low", "high").applyInPandas(lambda rows: _block_links(rows, percent), "a long, b long")
+    # a cluster's sets are sent once for each of its blocks
+    size = 8 * F.col("n").cast("long")
+    once, sent = (int(v or 0) for v in placed.agg(F.sum(size), F.sum(size * F.col("blocks"))).collect()[0])
+    rounds = -(-sent // max(once, ROUND_BYTES)) or 1
+
+    def links(k: int) -> DataFrame:
+        turn = lambda w: F.pmod(F.xxhash64("cluster", F.least("block", w), F.greatest("block", w)), F.lit(rounds)) == k
+        others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), turn)
+        tasks = placed.select("id", "cluster", "block", "root", "members", F.explode(others).alias("with"))
+        tasks = tasks.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
+        return tasks.groupBy("cluster", "low", "high").applyInPandas(lambda rows: _block_links(rows, percent), "a long, b long")
+
+    return reduce(DataFrame.unionByName, [work.save(links(k), f"links-2-{k}") for k in range(rounds)])
 
 
 def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
@@ -379,10 +417,7 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     # of all trees each set keeps its closest neighbour; what that leaves apart is for the exact join
     best = regions.filter("other is not null").groupBy("rep").agg(F.max(F.struct("likeness", "other"))["other"].alias("other"))
     pairs = work.save(best.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).filter("a <> b").distinct(), "pairs-1")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = work.save(ids.join(reps, F.col("id") == F.col("rep")).select("id", "digest"), "ids-1")
-    links = work.save(_confirmed(pairs, work.save(_sets(texts, ids, width), "members-1", "none"), percent), "links-1")
-    work.drop("members-1")
+    links = _candidate_links(texts, pairs, reps, work, percent, width)
     roots = components(links, work, "roots-1")
 
     placed = regions.join(roots, F.col("rep") == F.col("u"), "left").select("region", "rep", F.coalesce("v", "rep").alias("root"))
