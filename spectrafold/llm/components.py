@@ -53,7 +53,9 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """
     raw = work.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v and a is not null and b is not null").distinct(), f"{name}-raw")
     tasks = -(-raw.count() // CHUNK) or 1
-    now, step = work.save(raw.repartition(tasks, "v").mapInPandas(_contract, "u long, v long").distinct(), f"{name}-0"), 0
+    # one task's result is final, so it must be one whatever becomes of a count given with a key
+    dealt = raw.repartition(tasks, "v") if tasks > 1 else raw.coalesce(1)
+    now, step = work.save(dealt.mapInPandas(_contract, "u long, v long").distinct(), f"{name}-0"), 0
     mark = None
     while (new := _mark(now)) != mark and new[0] and (step or tasks > 1):
         mark, step = new, step + 1
