@@ -87,6 +87,23 @@ def without(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFram
     return never.union(perhaps.join(keys, same, "left_anti"))
 
 
+#: Bytes of rows that a written table's file has at least, where there are more files than tasks run at a time.
+FILE_BYTES = 8 << 20
+
+
+def in_few_files(df: DataFrame, size: int, deal: bool = False) -> DataFrame:
+    """Rows of about ``size`` bytes, to be written by as many tasks as run at a time, or as FILE_BYTES ask for, not by one for each shuffle partition.
+
+    Hadoop starts a process for each file it creates on a local disk, whose memory
+    counts as the executor's once more while it starts.  With ``deal`` the rows are
+    shuffled first, so costly work before stays with all its tasks.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    if not deal:
+        return df.coalesce(tasks)
+    return df.repartition(tasks) if tasks < partitions(df.sparkSession) else df
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from one literal, which takes no Python worker; infinite and missing numbers are kept."""
     names = [c.split()[0] for c in schema.split(", ")]

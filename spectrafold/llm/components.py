@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, in_few_files
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -51,19 +51,21 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     combined before the shuffle, and adaptive execution splits a hub's side of the
     joins.  Only a count and a checksum reach the driver.
     """
-    raw = work.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v and a is not null and b is not null").distinct(), f"{name}-raw")
-    tasks = -(-raw.count() // CHUNK) or 1
+    raw = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v and a is not null and b is not null").distinct()
+    raw = work.save(in_few_files(raw, 16 * edges.count()), f"{name}-raw")
+    count = raw.count()
+    tasks, size = -(-count // CHUNK) or 1, 16 * count
     # one task's result is final, so it must be one whatever becomes of a count given with a key
     dealt = raw.repartition(tasks, "v") if tasks > 1 else raw.coalesce(1)
-    now, step = work.save(dealt.mapInPandas(_contract, "u long, v long").distinct(), f"{name}-0"), 0
+    now, step = work.save(in_few_files(dealt.mapInPandas(_contract, "u long, v long").distinct(), size), f"{name}-0"), 0
     mark = None
     while (new := _mark(now)) != mark and new[0] and (step or tasks > 1):
         mark, step = new, step + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("x")).agg(F.least(F.col("x"), F.min("v")).alias("m"))
         large = both.join(least, F.col("u") == F.col("x")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        large = work.save(large, f"{name}-{step}-large")
+        large = work.save(in_few_files(large, size), f"{name}-{step}-large")
         low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v")))
-        now = work.save(small.distinct(), f"{name}-{step}")
+        now = work.save(in_few_files(small.distinct(), size), f"{name}-{step}")
     return now

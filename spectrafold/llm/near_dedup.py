@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, id_columns, matching, partitions
+from .common import Workspace, bounded_batches, id_columns, in_few_files, matching, partitions
 from .components import components
 from .shingles import MinHash, shingle_set, similar
 
@@ -174,7 +174,8 @@ def _candidate_links(texts: DataFrame, pairs: DataFrame, reps: DataFrame, work:
     disk holds one round's sets and shuffles.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = work.save(ids.join(reps, F.col("id") == F.col("rep")).select("id", "digest", "n"), "ids-1")
+    count = pairs.count()
+    ids = work.save(in_few_files(ids.join(reps, F.col("id") == F.col("rep")).select("id", "digest", "n"), 64 * count), "ids-1")
     size = ids.agg(F.sum(8 * F.col("n").cast("long"))).collect()[0][0] or 0
     rounds, found = min(ROUNDS, -(-size // ROUND_BYTES)) or 1, []
     known = ids.select("id", "digest")
@@ -182,9 +183,9 @@ def _candidate_links(texts: DataFrame, pairs: DataFrame, reps: DataFrame, work:
         tag, part, of = (f"1-{k}", pairs.filter(F.pmod(F.xxhash64("a"), F.lit(rounds)) == k), known) if rounds > 1 else ("1", pairs, known)
         if rounds > 1:
             own = part.select(F.explode(F.array("a", "b")).alias("i")).distinct()
-            of = work.save(known.join(own, F.col("id") == F.col("i"), "left_semi"), f"ids-{tag}")
+            of = work.save(in_few_files(known.join(own, F.col("id") == F.col("i"), "left_semi"), 64 * count // rounds), f"ids-{tag}")
         sets = work.save(_sets(texts, of, width), f"members-{tag}", "none")
-        found.append(work.save(_confirmed(part, sets, percent), f"links-{tag}"))
+        found.append(work.save(in_few_files(_confirmed(part, sets, percent), 16 * count // rounds, deal=True), f"links-{tag}"))
         work.drop(f"members-{tag}")
     return reduce(DataFrame.unionByName, found)
 
@@ -342,7 +343,7 @@ def _links_across(sets: DataFrame, work: Workspace, percent: int, bits: int) ->
     lists = rows.groupBy(F.col("shingle").alias("key")).agg(F.count(F.lit(1)).alias("ask"), F.count_if("indexed").alias("hold"), F.min("root").alias("low"), F.max("root").alias("high"))
     parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     live = lists.filter("hold > 0 and low <> high").select("key", parts("ask").alias("asks"), parts("hold").alias("holds"))
-    rows = rows.join(work.save(live, "lists"), F.col("shingle") == F.col("key"))
+    rows = rows.join(work.save(in_few_files(live, 16 * rows.count()), "lists"), F.col("shingle") == F.col("key"))
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     columns = ["key", "id", "root", "n", "sketch"]
@@ -355,15 +356,17 @@ def _links_across(sets: DataFrame, work: Workspace, percent: int, bits: int) ->
             yield _list_ties(rows, limit, percent)
 
     dealt = asked.unionByName(held).repartition(partitions(sets.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y", "held")
-    ties = work.save(dealt.mapInPandas(run, "a long, b long").distinct(), "ties")
+    number, size = sets.agg(F.count(F.lit(1)), F.sum(8 * F.col("n").cast("long"))).collect()[0]
+    ties = work.save(in_few_files(dealt.mapInPandas(run, "a long, b long").distinct(), 16 * number), "ties")
     work.drop("rare")
 
     clusters = components(ties, work, "clusters")
     ids = ties.select(F.explode(F.array("a", "b")).alias("i")).distinct()
     named = ids.join(clusters, F.col("i") == F.col("u"), "left").select("i", F.coalesce("v", "i").alias("cluster"))
-    full = work.save(sets.join(named, F.col("id") == F.col("i")).select("id", "cluster", "root", "n", "members"), "clustered", "none")
+    full = sets.join(named, F.col("id") == F.col("i")).select("id", "cluster", "root", "n", "members")
+    full = work.save(in_few_files(full, size or 0), "clustered", "none")
     size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(8 * F.col("n").cast("long")) / BLOCK_BYTES)).cast("int")
-    sizes = work.save(full.groupBy(F.col("cluster").alias("c")).agg(size.alias("blocks")), "cluster-sizes")
+    sizes = work.save(in_few_files(full.groupBy(F.col("cluster").alias("c")).agg(size.alias("blocks")), 16 * number), "cluster-sizes")
     work.drop("members-2")  # those that are still needed are written
     placed = full.join(sizes, F.col("cluster") == F.col("c")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     # a cluster's sets are sent once for each of its blocks
@@ -378,7 +381,7 @@ def _links_across(sets: DataFrame, work: Workspace, percent: int, bits: int) ->
         tasks = tasks.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
         return tasks.groupBy("cluster", "low", "high").applyInPandas(lambda rows: _block_links(rows, percent), "a long, b long")
 
-    return reduce(DataFrame.unionByName, [work.save(links(k), f"links-2-{k}") for k in range(rounds)])
+    return reduce(DataFrame.unionByName, [work.save(in_few_files(links(k), 16 * number, deal=True), f"links-2-{k}") for k in range(rounds)])
 
 
 def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
@@ -411,21 +414,26 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     rows = work.save(_signatures(texts, width, trees), "signatures")
     usable = rows.filter("n > 0 and doc_id is not null")
     reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ring").alias("ring"), F.first("sketch").alias("sketch"))
-    reps = work.save(reps, "sets")
-    regions = work.save(_neighbours(_orders(reps, trees), percent, bits), "regions")
+    number = rows.count()
+    reps = work.save(in_few_files(reps, number * 3 * trees * STEP), "sets")
+    count = reps.count()
+    regions = work.save(in_few_files(_neighbours(_orders(reps, trees), percent, bits), 32 * trees * count, deal=True), "regions")
 
     # of all trees each set keeps its closest neighbour; what that leaves apart is for the exact join
     best = regions.filter("other is not null").groupBy("rep").agg(F.max(F.struct("likeness", "other"))["other"].alias("other"))
-    pairs = work.save(best.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).filter("a <> b").distinct(), "pairs-1")
+    pairs = best.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).filter("a <> b").distinct()
+    pairs = work.save(in_few_files(pairs, 16 * count), "pairs-1")
     links = _candidate_links(texts, pairs, reps, work, percent, width)
     roots = components(links, work, "roots-1")
 
     placed = regions.join(roots, F.col("rep") == F.col("u"), "left").select("region", "rep", F.coalesce("v", "rep").alias("root"))
     mixed = placed.groupBy(F.col("region").alias("r")).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("r")
     open_ = placed.join(mixed, F.col("region") == F.col("r"), "left_semi").select(F.col("rep").alias("id"), "root").distinct()
-    open_ = work.save(open_.join(reps, F.col("id") == F.col("rep")).select("id", "root", "n", "sketch", "digest"), "open")
+    open_ = open_.join(reps, F.col("id") == F.col("rep")).select("id", "root", "n", "sketch", "digest")
+    open_ = work.save(in_few_files(open_, 64 * count), "open")
     full = work.save(_sets(texts, open_, width), "members-2", "none")
-    links = work.save(links.unionByName(_links_across(full, work, percent, bits)), "links-2")
+    links = links.unionByName(_links_across(full, work, percent, bits))
+    links = work.save(in_few_files(links, 16 * links.count()), "links-2")
     work.drop("members-2", "clustered")
     roots = components(links, work, "roots-2")
 
@@ -435,5 +443,6 @@ def near_groups(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     key = F.coalesce("digest", F.xxhash64("doc_id").cast("string").cast("binary"))
     out = small.withColumn("k", key).join(named, F.col("k") == F.col("g"), "left")
     component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    return in_few_files(out, 64 * number)
 
