@@ -3,30 +3,17 @@
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import BATCH_BYTES, BATCH_ROWS, bounded_batches  # noqa: F401
 from ..workspace import Workspace  # noqa: F401
 
 #: Separators of words, as a Java class: blank, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Arrow batches of Python stages: rows, and bytes.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough that a Python worker's copies of a batch stay within tens of MB; a long text is a batch of its own."""
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{key}"
-        now = int(re.sub(r"\D", "", spark.conf.get(name)) or 0)
-        if now <= 0 or now > most:
-            spark.conf.set(name, str(most))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

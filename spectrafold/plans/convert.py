@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import bounded_batches, pieces
 from ..functions import blocks as B
 from ..functions.columns import MIN_PEAKS, PEAK_FLOOR, READS_PER_BATCH
 
@@ -51,17 +53,25 @@ def encode_scans(scans: DataFrame, mode: str = "binary", precision: float = 0.00
             clean = b.astype(object).where(b.notna(), None).to_dict("records")
             yield pd.DataFrame({"block_id": b["block_id"], "payload": [B.encode_scan(r, mode, precision) for r in clean]})
 
+    bounded_batches(scans.sparkSession)
     return rows.mapInPandas(run, BLOCK)
 
 
+def decoded(blocks: pd.DataFrame, decode) -> Iterator[list[dict]]:
+    """Rows of decoded blocks, in lists whose arrays are of bounded size however small their codes are."""
+    rows = ({"block_id": i} | decode(p) for i, p in zip(blocks["block_id"], blocks["payload"]))
+    return pieces(rows, lambda r: sum(v.nbytes for v in r.values() if isinstance(v, np.ndarray)))
+
+
 def decode_scans(blocks: DataFrame, mode: str = "binary", precision: float = 0.001, columns: list[str] | None = None) -> DataFrame:
     """All columns of SCAN; arrays that aren't among ``columns`` are null and not decoded."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [{"block_id": i} | B.decode_scan(p, mode, precision, columns) for i, p in zip(b["block_id"], b["payload"])]
-            yield pd.DataFrame(rows, columns=_names(SCAN)).astype({"charge": "Int32"})
+            for rows in decoded(b, lambda p: B.scan_arrays(p, mode, precision, columns)):
+                yield pd.DataFrame(rows, columns=_names(SCAN)).astype({"charge": "Int32"})
 
+    bounded_batches(blocks.sparkSession)
     return blocks.select("block_id", "payload").mapInPandas(run, SCAN)
 
 
@@ -71,6 +81,7 @@ def encode_spectra(spectra: DataFrame, mode: str = "binary", continuous: bool =
             clean = b.astype(object).where(b.notna(), None).to_dict("records")
             yield pd.DataFrame({"block_id": b["spectrum_id"], "payload": [B.encode_spectrum(r, mode, continuous, precision) for r in clean]})
 
+    bounded_batches(spectra.sparkSession)
     return spectra.mapInPandas(run, BLOCK)
 
 
@@ -79,9 +90,10 @@ def decode_spectra(blocks: DataFrame, mode: str = "binary", continuous: bool = F
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [{"block_id": i} | B.decode_spectrum(p, mode, continuous, precision, columns) for i, p in zip(b["block_id"], b["payload"])]
-            yield pd.DataFrame(rows, columns=_names(SPECTRUM))
+            for rows in decoded(b, lambda p: B.spectrum_arrays(p, mode, continuous, precision, columns)):
+                yield pd.DataFrame(rows, columns=_names(SPECTRUM))
 
+    bounded_batches(blocks.sparkSession)
     return blocks.select("block_id", "payload").mapInPandas(run, SPECTRUM)
 
 
