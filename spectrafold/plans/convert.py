@@ -106,6 +106,7 @@ def encode_reads(reads: DataFrame, mode: str = "binary", per_batch: int = READS_
         payload = B.encode_reads(first, b["identifier"].tolist(), b["sequence"].tolist(), b["quality"].tolist(), mode)
         return pd.DataFrame({"block_id": [first // per_batch], "payload": [payload]})
 
+    bounded_batches(reads.sparkSession)
     keyed = reads.select("read_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("identifier", "sequence", "quality")])
     return keyed.withColumn("batch", F.floor(F.col("read_id") / per_batch)).groupBy("batch").applyInPandas(lambda b: run(b.drop(columns="batch")), BLOCK)
 
@@ -116,6 +117,7 @@ def decode_reads(blocks: DataFrame, mode: str = "binary") -> DataFrame:
             for p in b["payload"]:
                 yield pd.DataFrame(B.decode_reads(p, mode), columns=_names(READ))
 
+    bounded_batches(blocks.sparkSession)
     return blocks.select("payload").mapInPandas(run, READ)
 
 

@@ -30,7 +30,7 @@ def batches(spark):
     return got(9000, 1)[0], got(60, 1_000_000)[1]
 
 
-QUERIES = ["json_block", "binary_block", "yaml_block"]
+QUERIES = ["json_block", "binary_block", "yaml_block", "reads_block"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
