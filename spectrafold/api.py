@@ -15,6 +15,7 @@ from .functions.columns import duration_text, mz_steps
 from .operators.peaks import gather
 from .plans import convert
 from .sources import container, fastq, imzml, tdf
+from .workspace import Workspace
 
 #: Instrument terms of the header that a source may lack.
 _TERMS = ("msModel", "msDetector", "msIonisation", "msMassAnalyzer")
@@ -118,7 +119,9 @@ def _convert(spark: SparkSession, path: str, suffix: str, out: str, mode: str, p
         made = tdf.scans(tables, peaks)
         from .operators.ordered import dense_index
 
-        kept = convert.filter_scans(made, skip_zero)
+        # written once, as numbering its rows reads them twice
+        work = Workspace(spark, "scans")
+        kept = work.save(convert.filter_scans(made, skip_zero), "kept")
         scans = dense_index(kept, "frame", "scan_index", ("isolation_mz", "window"))
     else:
         source = spark.read.parquet(path)
@@ -127,6 +130,8 @@ def _convert(spark: SparkSession, path: str, suffix: str, out: str, mode: str, p
         facts |= _scan_facts(ends, scans.count()) | {"mobilityValue": "None"}
     facts["precision"] = str(precision)
     convert.write_container(convert.encode_scans(scans, mode, precision), out, "Proteomics", mode, **facts)
+    if suffix == ".d":
+        work.drop()
 
 
 def parse_omg_file(spark: SparkSession, omg_file: str, read_mode: str = "disk", columns: list[str] | None = None) -> DataFrame:

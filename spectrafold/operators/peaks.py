@@ -50,7 +50,7 @@ def baseline(peaks: DataFrame, block: str, intensity: str, rule) -> DataFrame:
 
 def collect_peaks(peaks: DataFrame, *by: str, order: tuple[str, ...] = ("mz", "intensity")) -> DataFrame:
     """One row for each block with its ordered arrays."""
-    packed = peaks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("peaks"))
+    packed = peaks.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("peaks"))
     return packed.select(*by, *[F.transform("peaks", lambda p: p[c]).alias(c) for c in order])
 
 

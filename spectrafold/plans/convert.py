@@ -30,12 +30,17 @@ def filter_scans(scans: DataFrame, skip_zero: bool = True, least: int = MIN_PEAK
     if not skip_zero:
         return kept
     columns = [c for c in ("mz", "intensity", "mobility_index") if c in scans.columns]
-    good = F.filter(F.arrays_zip(*columns), lambda p: (p["intensity"] >= PEAK_FLOOR) | F.isnan(p["intensity"]))
-    out = kept.withColumn("__p", good)
+    keeps = lambda x: F.coalesce((x >= PEAK_FLOOR) | F.isnan(x), F.lit(False))
+    good = F.filter(F.arrays_zip(*columns), lambda p: keeps(p["intensity"]))
+    # a scan whose arrays are of one length and have no zero peak stays as it is, without a row for each of its peaks
+    even = (F.size("mz") == F.size("intensity")) & F.forall("intensity", keeps)
+    if "mobility_index" in columns:
+        even &= F.col("mobility_index").isNotNull() & ((F.size("mobility_index") == 0) | (F.size("mobility_index") == F.size("mz")))
+    out = kept.withColumn("__cut", ~F.coalesce(even, F.lit(False))).withColumn("__p", F.when(F.col("__cut"), good))
     for c in columns:
-        picked = _pick(c)
-        out = out.withColumn(c, picked if c != "mobility_index" else F.when(F.size("mobility_index") > 0, picked).otherwise(F.col("mobility_index")))
-    return out.drop("__p").filter(F.size("mz") > 0)
+        picked = F.col("__cut") & (F.size(c) > 0) if c == "mobility_index" else F.col("__cut")
+        out = out.withColumn(c, F.when(picked, _pick(c)).otherwise(F.col(c)))
+    return out.drop("__p", "__cut").filter(F.size("mz") > 0)
 
 
 def _pick(name: str):

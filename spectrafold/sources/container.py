@@ -13,11 +13,16 @@ from pyspark import TaskContext
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from ..batches import bounded_batches
 from ..functions import container as C
 
 BLOCKS = "file string, block_id long, offset long, length long, payload binary"
 
 
+#: Bytes of blocks that one task reads, a larger block being a task of its own.
+TASK_BYTES = 4 << 20
+
+
 def mounted(path: str) -> str:
     return re.sub(r"^file:/*", "/", path)
 
@@ -55,8 +60,7 @@ class BlockReader(DataSourceReader):
             with open(file, "rb") as f:
                 _, starts, lengths = C.read_index(f)
             lo, hi = (min(max(0, x - before), len(starts)) for x in (self.low, self.high + 1))
-            for k in range(lo, hi, self.per_task):
-                e = min(k + self.per_task, hi)
+            for k, e in _stretches(lengths, lo, hi, self.per_task):
                 out.append(Range(file, before + k, starts[k:e].tolist(), lengths[k:e].tolist()))
             before += len(starts)
         return out or [Range("", 0, [], [])]
@@ -70,6 +74,18 @@ class BlockReader(DataSourceReader):
                 yield part.file, part.first + k, start, length, f.read(length)
 
 
+def _stretches(lengths, lo: int, hi: int, most: int):
+    """First and last (exclusive) of stretches of at most ``most`` blocks and TASK_BYTES, one block at least."""
+    size = 0
+    for k in range(lo, hi):
+        if k > lo and (k - lo == most or size + lengths[k] > TASK_BYTES):
+            yield lo, k
+            lo, size = k, 0
+        size += lengths[k]
+    if hi > lo:
+        yield lo, hi
+
+
 @dataclass
 class Part(WriterCommitMessage):
     path: str
@@ -182,7 +198,8 @@ class BlockSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known, with filters on block_id pushed to its reader."""
+    """Makes the format known, with filters on block_id pushed to its reader and bounded batches for its writer."""
+    bounded_batches(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BlockSource)
 

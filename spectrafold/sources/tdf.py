@@ -111,9 +111,9 @@ def scans(tables: dict[str, DataFrame], peaks: DataFrame) -> DataFrame:
     ms2 = cut.join(peaks, (F.col("f") == F.col("frame")) & inside)
     columns = ["frame", "window", "isolation_mz", "rt", "type", "collision_energy", "scan_no", "mz", "intensity"]
     each = ms1.select(columns).unionByName(ms2.select(columns))
-    packed = each.groupBy("frame", "window", "isolation_mz", "rt", "type", "collision_energy").agg(F.array_sort(F.collect_list(F.struct("mz", "scan_no", "intensity"))).alias("p"))
+    packed = each.groupBy("frame", "window", "isolation_mz", "rt", "type", "collision_energy").agg(F.sort_array(F.collect_list(F.struct("mz", "scan_no", "intensity"))).alias("p"))
     level = F.when(F.col("type") == 0, 1).otherwise(2)
-    return packed.select("frame", "window", "isolation_mz", F.col("rt").cast("float").alias("rt"), level.alias("ms_level"), F.when(level == 2, F.col("isolation_mz")).cast("float").alias("precursor_mz"), F.col("collision_energy").cast("float").alias("collision_energy"), F.transform("p", lambda x: x["mz"]).alias("mz"), F.transform("p", lambda x: x["intensity"]).alias("intensity"), F.transform("p", lambda x: x["scan_no"]).alias("mobility_index"))
+    return packed.select("frame", "window", "isolation_mz", F.col("rt").cast("float").alias("rt"), level.alias("ms_level"), F.when(level == 2, F.col("isolation_mz")).cast("float").alias("precursor_mz"), F.col("collision_energy").cast("float").alias("collision_energy"), F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"), F.col("p.scan_no").alias("mobility_index"))
 
 
 def mobility_axis(axis: DataFrame, peaks: DataFrame) -> list[float]:

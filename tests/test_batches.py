@@ -7,7 +7,9 @@ import pytest
 import __spark_entry__ as entry
 from spectrafold.batches import BATCH_BYTES, BATCH_ROWS, pieces
 from spectrafold.functions import blocks as B
+from spectrafold.operators import ordered
 from spectrafold.plans import convert
+from spectrafold.sources import container
 
 KEYS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 
@@ -52,3 +54,32 @@ def test_decoded_scans_come_in_pieces(mode):
     got = list(convert.decoded(stored, lambda p: B.scan_arrays(p, mode)))
     assert [r["block_id"] for rows in got for r in rows] == list(range(40))
     assert max(sum(r["mz"].nbytes + r["intensity"].nbytes for r in rows) for rows in got) <= BATCH_BYTES + 1_600_000
+
+
+def test_frames_are_gathered_once(spark, sf, monkeypatch):
+    """Numbering a run's scans reads them twice, so they are written first."""
+    plans, index = [], ordered.dense_index
+
+    def seen(df, *a):
+        plans.append(df._jdf.queryExecution().toString())
+        return index(df, *a)
+
+    monkeypatch.setattr(ordered, "dense_index", seen)
+    assert entry.queries()["mobility_decode"](spark, sf).count() and len(plans) == 1
+    assert "Aggregate" not in plans[0] and "parquet" in plans[0]
+
+
+def test_tasks_read_a_bounded_number_of_bytes():
+    most = container.TASK_BYTES
+    lengths = [10, most, 10, 10, most - 20, most + 1, 5, 5, 5]
+    assert list(container._stretches(lengths, 0, 9, 256)) == [(0, 1), (1, 2), (2, 5), (5, 6), (6, 9)]
+    assert list(container._stretches(lengths, 6, 9, 2)) == [(6, 8), (8, 9)] and not list(container._stretches(lengths, 4, 4, 2))
+
+
+def test_zero_peaks_go_from_uneven_scans(spark):
+    """A scan without zero peaks stays as it is; others lose them, with null and missing intensities."""
+    array = lambda *x: [float(v) if v is not None else None for v in x]
+    rows = [(1, 1, array(1, 2), array(5, 6), [3, 4]), (2, 1, array(1, 2), array(0, 6), [3, 4]), (3, 1, array(1, 2), array(5, None), []), (4, 1, array(1, 2), array(5), None), (5, 1, array(1), array(5, 6), [7]), (6, 1, array(1, 2), array("nan", 0), [3, 4]), (7, 1, array(1), array(5), [3, 4])]
+    scans = spark.createDataFrame(rows, "k long, ms_level int, mz array<double>, intensity array<double>, mobility_index array<long>")
+    got = {r["k"]: (r["mz"], [str(x) for x in r["intensity"]], r["mobility_index"]) for r in convert.filter_scans(scans, least=1).collect()}
+    assert got == {1: ([1, 2], ["5.0", "6.0"], [3, 4]), 2: ([2], ["6.0"], [4]), 3: ([1], ["5.0"], []), 5: ([1, None], ["5.0", "6.0"], [7, None]), 6: ([1], ["nan"], [3]), 7: ([1], ["5.0"], [3])}
