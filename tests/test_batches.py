@@ -1,5 +1,7 @@
 """Sizes of what a Python worker holds at once."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from spectrafold.batches import BATCH_BYTES, BATCH_ROWS, pieces
 from spectrafold.functions import blocks as B
+from spectrafold.functions import codecs as K
 from spectrafold.operators import ordered
 from spectrafold.plans import convert
 from spectrafold.sources import container
@@ -32,7 +35,7 @@ def batches(spark):
     return got(9000, 1)[0], got(60, 1_000_000)[1]
 
 
-QUERIES = ["json_block", "binary_block", "yaml_block", "reads_block", "container_folder_roundtrip", "reads_container", "zstd_roundtrip_documents"]
+QUERIES = ["json_block", "binary_block", "yaml_block", "reads_block", "container_folder_roundtrip", "reads_container", "zstd_roundtrip_documents", "ef32_bytes_roundtrip"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -83,3 +86,12 @@ def test_zero_peaks_go_from_uneven_scans(spark):
     scans = spark.createDataFrame(rows, "k long, ms_level int, mz array<double>, intensity array<double>, mobility_index array<long>")
     got = {r["k"]: (r["mz"], [str(x) for x in r["intensity"]], r["mobility_index"]) for r in convert.filter_scans(scans, least=1).collect()}
     assert got == {1: ([1, 2], ["5.0", "6.0"], [3, 4]), 2: ([2], ["6.0"], [4]), 3: ([1], ["5.0"], []), 5: ([1, None], ["5.0", "6.0"], [7, None]), 6: ([1], ["nan"], [3]), 7: ([1], ["5.0"], [3])}
+
+
+def test_elias_fano_holds_no_word_for_each_bit():
+    x = np.arange(200_000, dtype=np.uint64) * np.uint64(10_000)
+    tracemalloc.start()
+    back = K.ef_decode(K.ef_encode(x))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (back == x).all() and most < 12 * x.nbytes
