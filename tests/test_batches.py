@@ -35,7 +35,7 @@ def batches(spark):
     return got(9000, 1)[0], got(60, 1_000_000)[1]
 
 
-QUERIES = ["json_block", "binary_block", "yaml_block", "reads_block", "container_folder_roundtrip", "reads_container", "zstd_roundtrip_documents", "ef32_bytes_roundtrip"]
+QUERIES = ["json_block", "binary_block", "yaml_block", "reads_block", "container_folder_roundtrip", "reads_container", "zstd_roundtrip_documents", "ef32_bytes_roundtrip", "compression_report"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
